@@ -13,3 +13,5 @@ ORACLE: dict[str, str] = {}
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
+
+from tidewright.plans import timestamps  # noqa: E402, F401
