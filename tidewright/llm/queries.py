@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_name
-from tidewright.llm import contributor_caps, survivorship, titles
+from tidewright.llm import contributor_caps, survivorship, titles, truncation
 from tidewright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,18 @@ UNION ALL SELECT story_id, 'published_at', row_id FROM ranked WHERE rp = 1
 """
 
 
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_records(*(table(spark, folder, t) for t in ("translations_zh", "releases", "items")))
+
+
+@query
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source (of translations: each model) cuts its texts."""
+    texts = truncation.texts_of(*(table(spark, folder, t) for t in ("translations_zh", "releases", "items")))
+    return truncation.rates(truncation.judged(truncation.scored_values(texts)))
+
+
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "items")
