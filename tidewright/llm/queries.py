@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_name
-from tidewright.llm import contributor_caps, survivorship, titles, truncation
+from tidewright.llm import contributor_caps, pair_defects, survivorship, titles, truncation
 from tidewright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defects(table(spark, folder, "translations_zh"), table(spark, folder, "stories"))
+
+
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivorship.surviving_fields(table(spark, folder, "stories"))
