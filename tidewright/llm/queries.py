@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_name
-from tidewright.llm import contributor_caps, pair_defects, survivorship, titles, truncation
+from tidewright.llm import bpe, contributor_caps, packing, pair_defects, splitting, survivorship, titles, truncation
 from tidewright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,18 @@ t AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v DESC NULLS LAST, ro
 SELECT row_id, 'source' AS cap FROM s WHERE k IS NOT NULL AND rk > n // 20
 UNION ALL SELECT row_id, 'category' FROM t WHERE rg > n // 4
 """
+
+
+@query
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"))
+
+
+@query
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(table(spark, folder, "documents"))
