@@ -234,14 +234,14 @@ class Encoder:
 
     # Arrow
 
-    def encode(self, column: pa.Array) -> pa.ListArray:
-        """The ids of every text of a string column."""
+    def chunks(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts of a string column, about ``CHUNK`` bytes at a time: rows, bytes, where each text starts (and the
+        last ends), ids, pre-token starts, ids per pre-token. Null and empty texts are left out."""
         column = column.cast(pa.large_string())
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=n + 1, offset=column.offset * 8) if n else np.zeros(1, dtype=np.int64)
         raw = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
         sizes = np.diff(offsets)
-        pieces, totals = [], np.zeros(n, dtype=np.int64)
         row = 0
         while row < n:
             upto = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
@@ -250,11 +250,15 @@ class Encoder:
             if len(full):
                 data = np.concatenate([raw[low:high], np.zeros(8, dtype=np.uint8)])
                 firsts = offsets[full] - low
-                ids, starts, counts = self.tokens(data, firsts, high - low)
-                edges = np.searchsorted(starts, firsts)
-                totals[full] = np.add.reduceat(counts, edges)
-                pieces.append(ids)
+                yield full, data, np.append(firsts, high - low), *self.tokens(data, firsts, high - low)
             row = upto
+
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """The ids of every text of a string column."""
+        pieces, totals = [], np.zeros(len(column), dtype=np.int64)
+        for rows, _, edges, ids, starts, counts in self.chunks(column):
+            totals[rows] = np.add.reduceat(counts, np.searchsorted(starts, edges[:-1]))
+            pieces.append(ids)
         values = np.concatenate(pieces) if pieces else np.zeros(0, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(totals)]).astype(np.int32)), pa.array(values, type=pa.int32()))
 

@@ -107,24 +107,22 @@ def _atoms(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.nda
     return at_token[kept], np.where(word[kept], WORD, TOKEN), np.diff(np.append(kept, len(ids)))
 
 
-def split_text(data: bytes, tool: bpe.Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+def split_text(data: bytes, padded: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, tool: bpe.Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(from, begin, to, tokens) in bytes: the piece is data[from:to], new from ``begin`` on."""
-    padded = np.frombuffer(data + b"\0" * 8, dtype=np.uint8)
-    ids, starts, counts = tool.tokens(padded, np.zeros(1, dtype=np.int64), len(data))
-    if len(ids) <= limit:
-        return [(0, 0, len(data), len(ids))]
     places, depths, tokens = _atoms(padded, starts, counts, ids, tool.token_bytes)
     depths = depths.astype(np.int64)
-    for at, depth in boundaries(data).items():
-        k = int(np.searchsorted(places, at))
-        if 0 < k < len(places):
-            depths[k] = min(depths[k], depth)
+    marks = boundaries(data)
+    at = np.searchsorted(places, np.fromiter(marks.keys(), dtype=np.int64, count=len(marks)))
+    depth = np.fromiter(marks.values(), dtype=np.int64, count=len(marks))
+    inside = (at > 0) & (at < len(places))
+    np.minimum.at(depths, at[inside], depth[inside])
     sizes = np.concatenate([[0], np.cumsum(tokens)])
     result = []
     for a, b in spans(places, depths, sizes, limit - overlap):
         first = a
-        while a > 0 and first > 0 and sizes[a] - sizes[first - 1] <= overlap and sizes[b] - sizes[first - 1] <= limit:
-            first -= 1
+        if a > 0:  # as many whole atoms as fit
+            room = min(overlap, limit - int(sizes[b] - sizes[a]))
+            first = min(a, int(np.searchsorted(sizes, sizes[a] - room)))
         end = int(places[b]) if b < len(places) else len(data)
         result.append((int(places[first]), int(places[a]), end, int(sizes[b] - sizes[first])))
     return result
@@ -140,16 +138,24 @@ def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, ide
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary()).to_pylist()
-            rows, number, again, tokens, out = [], [], [], [], []
-            for row, data in enumerate(texts):
-                found = split_text(data, tool, limit, overlap) if data else [(0, 0, 0, 0)]
-                for k, (start, begin, end, size) in enumerate(found):
-                    rows.append(row)
-                    number.append(k)
-                    tokens.append(size)
-                    again.append(len(data[start:begin].decode("utf-8", "replace")) if begin > start else 0)
-                    out.append(None if data is None else data[start:end].decode("utf-8", "replace"))
+            ids, texts = batch.column(0), batch.column(1)
+            found: list[tuple[int, int, int, int, str | None]] = [(row, 0, 0, 0, t) for row, t in enumerate(texts.to_pylist()) if not t]
+            for rows_, data, edges, tokens_, starts, counts in tool.chunks(texts):
+                begins = np.append(np.searchsorted(starts, edges[:-1]), len(starts))
+                before = np.concatenate([[0], np.cumsum(counts)])
+                for k, row in enumerate(rows_.tolist()):
+                    a, b = int(begins[k]), int(begins[k + 1])
+                    low, high = int(edges[k]), int(edges[k + 1])
+                    size = int(before[b] - before[a])
+                    own = data[low:high].tobytes()
+                    if size <= limit:
+                        found.append((row, 0, 0, size, own.decode("utf-8", "replace")))
+                        continue
+                    parts = split_text(own, data[low : high + 8], starts[a:b] - low, counts[a:b], tokens_[before[a] : before[b]], tool, limit, overlap)
+                    for piece, (start, begin, end, n) in enumerate(parts):
+                        again = len(own[start:begin].decode("utf-8", "replace")) if begin > start else 0
+                        found.append((row, piece, again, n, own[start:end].decode("utf-8", "replace")))
+            rows, number, again, tokens, out = ([f[k] for f in found] for k in range(5))
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(rows, type=pa.int64())), pa.array(number, type=pa.int32()), pa.array(again, type=pa.int32()), pa.array(tokens, type=pa.int64()), pa.array(out, type=pa.string())],
                 names=[identifier, "piece", "overlap", "tokens", "text"],
