@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_name
-from tidewright.llm import bpe, contributor_caps, packing, pair_defects, splitting, survivorship, titles, truncation
+from tidewright.llm import bpe, contributor_caps, entity_matching, packing, pair_defects, splitting, survivorship, titles, truncation
 from tidewright.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,17 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_matching.found(table(spark, folder, "items"), table(spark, folder, "stories"))
+
+
+@query
+def p1_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The best story of each item that has a candidate at all, with its confidence."""
+    return entity_matching.matched(table(spark, folder, "items"), table(spark, folder, "stories"))
+
+
 @query
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects.defects(table(spark, folder, "translations_zh"), table(spark, folder, "stories"))
@@ -108,6 +119,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
 
+@query
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full each container is."""
+    return packing.containers(packing.packed(table(spark, folder, "documents")))
+
+
 @query
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "documents"))
