@@ -18,3 +18,12 @@ def canonical_name(value: Column) -> Column:
 
 def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
+
+
+# An object from end to end, and what only lenient readers pass over inside one.
+JSON_OBJECT, JSON_FLAW = r'(?s)^\{\s*".*\}$', r",\s*[}\]]|\}\s*\{"
+
+
+def strict_json(value: Column) -> Column:
+    """The text where it is one well-formed JSON object, else null; field readers alone would also read broken JSON."""
+    return F.when(value.rlike(JSON_OBJECT) & ~value.rlike(JSON_FLAW) & F.try_parse_json(value).isNotNull(), value)

@@ -14,4 +14,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     QUERIES[fn.__name__] = fn
     return fn
 
-from tidewright.plans import timestamps  # noqa: E402, F401
+def oracle(name: str, sql: str) -> None:
+    ORACLE[name] = sql
+
+
+from tidewright.plans import items, ranking, scalars, stories, timestamps, views  # noqa: E402, F401
