@@ -62,7 +62,7 @@ voted AS (
   SELECT *, CASE WHEN max(whole) OVER (PARTITION BY story_id, core) THEN count(*) OVER (PARTITION BY story_id, core) ELSE 0 END AS support FROM titled),
 ranked AS (
   SELECT story_id, row_id,
-    row_number() OVER (PARTITION BY story_id ORDER BY whole DESC, support DESC, length(CASE WHEN whole THEN trim(title) END) DESC NULLS LAST, row_id) AS rt,
+    row_number() OVER (PARTITION BY story_id ORDER BY whole DESC, length(CASE WHEN whole THEN trim(title) END) DESC NULLS LAST, support DESC, row_id) AS rt,
     row_number() OVER (PARTITION BY story_id ORDER BY web DESC, CASE WHEN web THEN primary_link.tier END NULLS LAST, row_id) AS rl,
     row_number() OVER (PARTITION BY story_id ORDER BY in_time DESC, CASE WHEN in_time THEN published_at END DESC NULLS LAST, row_id) AS rp
   FROM voted)

@@ -7,8 +7,8 @@ by (group, cleaned title) first, which doubles as the split of hot groups, and t
 
 Rules: a null group key belongs to no group; groups of one record are left out; of equally good values the
 smallest identifier wins; a field none of whose values is usable still names a record, the smallest identifier.
-Records that agree after cleaning support each other's title; among whole titles the better supported wins,
-then the longer, since an unmarked cut is shorter. An empty table gives an empty result.
+Among titles with nothing wrong the longest wins, since an unmarked cut is shorter, then the one that more
+records agree on after cleaning. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def survivors(stories: DataFrame) -> DataFrame:
     )
     by_core = rows.groupBy("story_id", "core").agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("l").alias("l"), F.max("p").alias("p"))
     support = F.when(F.col("t.whole"), F.col("n")).otherwise(0)
-    best = F.struct(F.col("t.whole").alias("whole"), support.alias("support"), F.col("t.size").alias("size"), F.col("t.first").alias("first"))
+    best = F.struct(F.col("t.whole").alias("whole"), F.col("t.size").alias("size"), support.alias("support"), F.col("t.first").alias("first"))
     return (
         by_core.groupBy("story_id")
         .agg(F.sum("n").alias("n"), F.max(best).alias("t"), F.max("l").alias("l"), F.max("p").alias("p"))
