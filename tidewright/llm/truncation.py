@@ -42,7 +42,7 @@ JSON_TEXTS = ("abstract_snippet", "abstract", "description", "summary", "readme_
 
 # Marks of a cut that say so, and signs that may also end a complete text.
 _SURE_MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)?\s*\]?|\(\s*(?:\.\.\.|…)\s*\)|&hellip;|&#8230;|[\[(](?:truncated|cut|continued|more|read more)\b[^\])]{0,12}[\])]?)$", re.I)
-_MARK = re.compile(r"\s*(?:\.\.\.|…|⋯⋯|⋯)$")
+_MARK = re.compile(r"\s*(?:\.{3,}|…+|⋯+)$")
 _URL = re.compile(r"(https?://[^\s/]+/)[^\s)\]]+")
 _TAG = re.compile(r"#\w+")
 # Words after which a text can't end.
