@@ -5,9 +5,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidewright.session import get_spark  # noqa: E402
+from tidewright.session import get_spark, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_spark("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    session = get_spark("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    ship(session)
+    return session
