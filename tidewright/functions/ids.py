@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.cleanup import compatibility_form
+
 # How identifiers appear in addresses.
 ARXIV = r"(?i)(?:arxiv(?:\.org)?[:/])?(?:abs/|pdf/)?((?:\d{4}\.\d{4,5}(?:v\d+)?)|(?:[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?))"
 MODEL = r"(?i)huggingface\.co/([a-zA-Z0-9_-]+/[a-zA-Z0-9._-]+)"
@@ -50,8 +52,8 @@ def stable_id(url: Column, raw_arxiv: Column, arxiv: str = ARXIV, model: str = M
 
 
 def normal_title(title: Column) -> Column:
-    """Lower case without punctuation, single blanks, at most ``TITLE_LENGTH`` characters. Accents stay as they are."""
-    plain = F.translate(F.lower(title), TITLE_SIGNS, "")
+    """Compatibility form (NFKD) in lower case without punctuation, single blanks, at most ``TITLE_LENGTH`` characters."""
+    plain = F.translate(F.lower(compatibility_form(title)), TITLE_SIGNS, "")
     return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, TITLE_LENGTH)
 
 
