@@ -14,22 +14,22 @@ from pyspark.sql import types as T
 SECRETS = (
     ("google_oauth_access", r"\bya29\.[a-zA-Z0-9_\-\.]+\b"), ("google_oauth_refresh", r"\b1//[a-zA-Z0-9_\-]+\b"),
     ("api_key_sk", r"\bsk-[a-zA-Z0-9]{20,}\b"), ("api_key_pk", r"\bpk-[a-zA-Z0-9]{20,}\b"), ("api_key_generic", r"\bkey-[a-zA-Z0-9]{20,}\b"),
-    ("bearer_token", r"(?i)\bBearer\s+[a-zA-Z0-9_\-\.]+\b"), ("github_token", r"\bgh[pousr]_[a-zA-Z0-9]{36,}\b"), ("hf_token", r"\bhf_[a-zA-Z0-9]{34,}\b"),
+    ("bearer_token", r"(?i)\bBearer\s+[a-zA-Z0-9_\-\.]+\b"), ("github_token", r"\bgh[pousr]_[a-zA-Z0-9]{36,}\b"), ("github_classic", r"\bghp_[a-zA-Z0-9]{36}\b"), ("hf_token", r"\bhf_[a-zA-Z0-9]{34,}\b"),
     ("password_value", r"(?i)\bpassword\s*[=:]\s*['\"]?[^\s'\"]{8,}['\"]?"), ("secret_value", r"(?i)\bsecret\s*[=:]\s*['\"]?[^\s'\"]{8,}['\"]?"),
     ("token_value", r"(?i)\btoken\s*[=:]\s*['\"]?[^\s'\"]{20,}['\"]?"), ("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b"), ("aws_secret_key", r"\b[a-zA-Z0-9/+=]{40}\b"),
-    ("base64_long", r"\b[a-zA-Z0-9+/]{50,}={0,2}\b"), ("auth_header", r"(?i)Authorization:\s*[^\n]+"), ("set_cookie_header", r"(?i)Set-Cookie:\s*[^\n]+"), ("cookie_header", r"(?i)Cookie:\s*[^\n]+"),
+    ("base64_long", r"\b[a-zA-Z0-9+/]{50,}={0,2}\b"), ("auth_header", r"(?i)Authorization:\s*[^\n]+"), ("cookie_header", r"(?i)Cookie:\s*[^\n]+"), ("set_cookie_header", r"(?i)Set-Cookie:\s*[^\n]+"),
 )
 
 
 def secrets_found(text: Column, patterns: tuple = SECRETS) -> Column:
-    """Names of the forms that occur, in order."""
-    hits = F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in patterns])
+    """Names of the forms that occur, in order. Words, blanks and case are those of Unicode, as in the reference."""
+    hits = F.array(*[F.when(text.rlike("(?U)" + p), F.lit(name)) for name, p in patterns])
     return F.filter(hits, lambda h: h.isNotNull())
 
 
 def redacted(text: Column, patterns: tuple = SECRETS, mark: str = "[REDACTED]") -> Column:
     for _, pattern in patterns:
-        text = F.regexp_replace(text, pattern, mark.replace("$", "\\$"))
+        text = F.regexp_replace(text, "(?U)" + pattern, mark.replace("$", "\\$"))
     return text
 
 
