@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import periods
+
 
 def report_key(arxiv_id: Column, story_id: Column, url: Column, title: Column, when: Column) -> Column:
     """What makes two candidates the same: paper, else story, else address, else title and time; without case."""
@@ -13,13 +15,41 @@ def report_key(arxiv_id: Column, story_id: Column, url: Column, title: Column, w
     return F.coalesce(named("arxiv_id:", arxiv_id), named("story_id:", story_id), named("url:", url), F.concat(F.lit("title:"), F.lower(F.trim(F.coalesce(title, F.lit("")))), F.lit(":"), F.coalesce(when.cast("string"), F.lit(""))))
 
 
+# Sections whose records compete for a report, in scan order, and the link types of its two lists.
+SECTIONS = ("papers", "top5", "radar")
+PAPER_LINKS = ("arxiv", "paper", "openreview")
+BLOG_LINKS = ("article", "blog", "html", "official")
+BLOG_LIMIT = 30
+
+
+def local_date(published: Column, archived: Column, zone: str) -> Column:
+    """The publication date in ``zone``; the archive's date where there is none."""
+    return F.coalesce(periods.local_day(published, zone), archived)
+
+
+def in_scan(local: Column, archived: Column, kind: str, lookahead: int = 1) -> Column:
+    """Whether the archive of the day is read for the period (``week`` or ``month``) of the local date: its own days and
+    ``lookahead`` days after its end."""
+    first = F.trunc(local, kind)
+    last = F.date_sub(F.add_months(first, 1), 1) if kind == "month" else F.date_add(first, 6)
+    return (archived >= first) & (archived <= F.date_add(last, lookahead))
+
+
+def report_list(arxiv_id: Column, link_type: Column, source_id: Column, paper_sources: str, blog_sources: list[str]) -> Column:
+    """``papers`` or ``blogs``, or null for a record that neither list takes. ``paper_sources`` is a pattern of identifiers."""
+    link, source = F.lower(F.coalesce(link_type, F.lit(""))), F.lower(F.coalesce(source_id, F.lit("")))
+    paper = (F.coalesce(arxiv_id, F.lit("")) != "") | link.isin(*PAPER_LINKS) | source.rlike(paper_sources)
+    blog = link.isin(*BLOG_LINKS) | source.isin(*blog_sources) | source.contains("blog")
+    return F.when(paper, "papers").when(blog, "blogs")
+
+
 def best_of_key(candidates: DataFrame, key: list[str], score: str, order: str, fields: list[str]) -> DataFrame:
     """One candidate per key: the highest score, the first of equals. One aggregation, no window over the key."""
     best = F.min(F.struct((-F.coalesce(F.col(score), F.lit(0.0))).alias("s"), F.col(order).alias("o"), *fields))
     return candidates.groupBy(*key).agg(best.alias("_b")).select(*key, (-F.col("_b.s")).alias(score), F.col("_b.o").alias(order), *[F.col(f"_b.{f}").alias(f) for f in fields])
 
 
-def ranked(unique: DataFrame, period: str, score: str, when: str, title: str, last: str, limit: int) -> DataFrame:
+def ranked(unique: DataFrame, period: str | list[str], score: str, when: str, title: str, last: str, limit: int) -> DataFrame:
     """Adds report_rank within the period, best first, and keeps the first ``limit``."""
     order = [F.col(score).desc(), F.coalesce(F.unix_micros(when), F.lit(0)).desc(), F.lower(F.coalesce(title, F.lit(""))).asc(), F.col(last).asc()]
     place = F.row_number().over(Window.partitionBy(period).orderBy(*order))

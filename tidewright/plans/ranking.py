@@ -141,11 +141,26 @@ def score_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 oracle("score_percentiles", "SELECT source, " + ", ".join(f"list_sort(list(score))[least(({p} * count(*)) // 100, count(*) - 1)::INT + 1] AS p{p}" for p in (50, 90, 99)) + f" FROM (SELECT {_SOURCE.format('source_id')} AS source, score FROM items WHERE score IS NOT NULL AND NOT isnan(score)) GROUP BY 1")
 
 
-def _report(spark: SparkSession, folder: str, period: F.Column, limit: int) -> DataFrame:
-    rows = scored(spark, folder).withColumn("period", period)
+# The invented sources of the test tables, in the places of the public ones.
+PAPER_SOURCES, BLOG_SOURCES = r"^(?:arxiv-|axv-)|^(?:hf|hub)-daily-papers$", ["plume-notes"]
+
+
+def _report(spark: SparkSession, folder: str, kind: str, limit: int, zone: str = "UTC", lookahead: int = 1) -> DataFrame:
+    """The papers and the blogs of each period by local publication date, from the report sections of its days' archives
+    and of ``lookahead`` days after."""
+    link = F.col("primary_link")
+    taken = reports.report_list(F.col("arxiv_id"), link["link_type"], link["source_id"], PAPER_SOURCES, BLOG_SOURCES)
+    extra = table(spark, folder, "stories").select("row_id", taken.alias("list"), F.array_position(F.array(*[F.lit(n) for n in reports.SECTIONS]), F.col("section")).alias("section"))
+    local = reports.local_date(F.col("published_at"), F.col("digest_date"), zone)
+    rows = scored(spark, folder).join(extra.where("section > 0 AND list IS NOT NULL"), "row_id")
+    rows = rows.withColumn("local", local).where(reports.in_scan(F.col("local"), F.col("digest_date"), kind, lookahead))
+    rows = rows.withColumn("period", periods.week_id(F.col("local")) if kind == "week" else periods.month_id(F.col("local")))
     key = reports.report_key(F.col("arxiv_id"), F.col("story_id"), F.col("url"), F.col("title"), F.col("published_at"))
-    unique = reports.best_of_key(rows.withColumn("key", key), ["period", "key"], "score", "row_id", ["story_id", "title", "published_at"])
-    return reports.ranked(unique, "period", "score", "published_at", "title", "row_id", limit).select("period", "report_rank", "row_id", "story_id", "score")
+    rows = rows.withColumn("key", key).withColumn("seen", F.struct("digest_date", "section", "row_id"))
+    unique = reports.best_of_key(rows, ["period", "list", "key"], "score", "seen", ["row_id", "story_id", "title", "published_at"])
+    best = reports.ranked(unique, ["period", "list"], "score", "published_at", "title", "seen", limit)
+    best = best.where((F.col("list") == "papers") | (F.col("report_rank") <= reports.BLOG_LIMIT))
+    return best.select("period", "list", "report_rank", "row_id", "story_id", "score")
 
 
 _KEY = "coalesce('arxiv_id:' || lower(nullif(arxiv_id, '')), 'story_id:' || lower(nullif(story_id, '')), 'url:' || lower(nullif(url, '')), 'title:' || lower(trim(coalesce(title, ''))) || ':' || coalesce(published_at::VARCHAR, ''))"
@@ -159,7 +174,7 @@ SELECT period, report_rank::INT AS report_rank, row_id, story_id, score FROM r W
 
 @query
 def report_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, periods.week_id(F.col("digest_date")), 30)
+    return _report(spark, folder, "week", 30)
 
 
 oracle("report_weekly", _report_sql("strftime(digest_date, '%G-W%V')", 30))
@@ -167,7 +182,7 @@ oracle("report_weekly", _report_sql("strftime(digest_date, '%G-W%V')", 30))
 
 @query
 def report_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    return _report(spark, folder, periods.month_id(F.col("digest_date")), 100)
+    return _report(spark, folder, "month", 100)
 
 
 oracle("report_monthly", _report_sql("strftime(digest_date, '%Y-%m')", 100))
