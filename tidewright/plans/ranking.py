@@ -97,7 +97,7 @@ SELECT category, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS d
 def _sectioned(spark: SparkSession, folder: str) -> DataFrame:
     rows = scored(spark, folder)
     release = F.col("hf_model_id").isNotNull() | F.col("github_release_url").isNotNull()
-    return ranking.sections(rows, "row_id", "digest_date", _order(), release, F.col("arxiv_id").isNotNull(), top=1, papers=2, radar=1)
+    return ranking.sections(rows, "row_id", "digest_date", _order(), release, F.col("arxiv_id").isNotNull())
 
 
 @query
