@@ -2,19 +2,22 @@
 
 A backward character n-gram model is trained on the tables themselves: for the suffixes of ``ORDERS`` lengths,
 how often a text ends right after them and how often it goes on, and whether it goes on inside the same word.
-Counts cover every text and every position; they live in hashed tables of fixed size (``BITS``), so the model
-that is sent to the tasks has a size that doesn't depend on the data. Only buckets that are some value's final
-context are counted, which keeps the shuffle small.
+Counts cover every text and every position. Only contexts that are some value's final context are counted; they live in
+tables of fixed size (``BITS``), one context a bucket with a check value: of several the one that ends most texts, and
+texts that end in the others are scored by their shorter contexts. So the model that is sent to the tasks has a
+size that doesn't depend on the data, and no count is ever the sum of two contexts.
 
 A value's final context, without white space and without a mark of a cut, is scored by the log-odds of ending
 against going on, in the longest context with enough evidence, leaving the value itself out. The threshold per
 language and column is the one that best separates the values as they are from the same values cut at a
-random place. Exact checks follow the model: a text that stops inside a word, leaves a bracket, fence, tag or
-entity open, hangs on a word or sign that needs a continuation, or carries an unmistakable mark, was cut
-whatever its odds; placeholders, closed code blocks and bare titles (no sentence at all) were not cut by odds.
+random place; a column whose ends can't be told from cuts (``LEAST_GAIN``) has none. Exact checks follow the model: a text that stops
+inside a word, leaves a bracket, fence, tag or entity open, hangs on a word or sign that needs a continuation, or
+carries an unmistakable mark, was cut whatever its odds; closed code blocks, texts that only repeat the record's title, and values
+without any blank (names, addresses, numbers) were not cut by odds.
 
 Of ``items.raw_json`` the JSON itself is checked (it was cut where it ends inside a value or container) and,
-where it can be read, each of its ``JSON_TEXTS``. Nulls, blanks and placeholders were not cut.
+where it can be read, every string in it at any depth, by its key as column. Nulls, blanks and placeholders were not cut. An
+empty table gives an empty result; repeated rows each count; more columns in the tables change nothing.
 """
 
 from __future__ import annotations
@@ -31,14 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_name
-from tidewright.session import cut_lineage
+from tidewright.session import cut_lineage, written
 
 ORDERS = (1, 2, 3, 5, 8)
-#: log2 of the hashed counters per order: 16 MB in all.
+#: log2 of the buckets per order, each with one context: 60 MB of counts and check values in all.
 BITS = (14, 16, 18, 20, 20)
 #: A context decides if it was seen so often apart from the value itself.
 EVIDENCE = 8
-JSON_TEXTS = ("abstract_snippet", "abstract", "description", "summary", "readme_summary", "body")
+#: A threshold must leave below it so many more of the cut than twice the uncut values (as shares).
+LEAST_GAIN = 0.3
 
 # Marks of a cut that say so, and signs that may also end a complete text.
 _SURE_MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)?\s*\]?|\(\s*(?:\.\.\.|…)\s*\)|&hellip;|&#8230;|[\[(](?:truncated|cut|continued|more|read more)\b[^\])]{0,12}[\])]?)$", re.I)
@@ -56,8 +60,10 @@ _BROKEN_END = re.compile(r"(?:&[A-Za-z]{1,8}|&#\w{0,6}|<[A-Za-z/][^<>]{0,80}|\]\
 _EMPTY_TABLE = re.compile(r"\|[^\n]*\|\s*\n\s*\|[\s:|-]+\|?$")
 _SENTENCE_END = re.compile(r"(?:[A-Za-z)\]\"”’'%][.!?][\"”’')\]]*|[。！？][」』）)\"”]*)$")
 _SENTENCE = re.compile(r"[.!?](?:\s|$)|[。！？]")
-#: Shorter texts are placeholders, and cut only where they say so.
-SHORTEST = 8
+#: Values without a blank and without signs of these scripts are names, addresses or numbers.
+_PROSE = re.compile(r"\s|[぀-ヿ㐀-鿿가-힯]")
+# What stands where a text is missing.
+_PLACEHOLDER = re.compile(r"^\W*(?:n/?a|none|null|nil|tbd|todo|untitled|無|无|略|空)?\W*$", re.I)
 _COMPLETE_URL = re.compile(r"https?://[^\s/]+/\S+$")
 _BRACKETS = {")": "(", "）": "（", "]": "[", "」": "「", "』": "『", "》": "《"}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -147,21 +153,43 @@ def _synthetic(bare: str) -> int:
     return max(1, int(len(bare) * (0.3 + 0.65 * (zlib.crc32(bare.encode("utf-8", "replace")) % 1000) / 1000)))
 
 
-def _entries(batch: pa.RecordBatch) -> Iterator[tuple[int, str, bool, str | None]]:
-    """(row in the batch, column, whether the JSON was cut, text to score or learn from)."""
-    tables, texts = batch.column("tbl").to_pylist(), batch.column("text").to_pylist()
-    for row, (tbl, text) in enumerate(zip(tables, texts, strict=True)):
-        if text is None:
-            continue
-        if tbl != "items":
-            yield row, tbl, False, text
-            continue
-        cut, value = json_cut(text)
-        if cut:
-            yield row, "raw_json", True, None
-        for key, part in (value or {}).items():
-            if isinstance(part, str) and (key in JSON_TEXTS or key == "title"):
-                yield row, key, False, part
+def strings_in(value: object, key: str = "") -> Iterator[tuple[str, str]]:
+    """Every string of a JSON value with the key it stands under, at any depth."""
+    open_ = [(key, value)]
+    while open_:
+        key, value = open_.pop()
+        if isinstance(value, str):
+            yield key, value
+        elif isinstance(value, dict):
+            open_ += list(value.items())
+        elif isinstance(value, list):
+            open_ += [(key, x) for x in value]
+
+
+_VALUES = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("source", pa.string()), ("field", pa.string()), ("cut", pa.bool_()), ("title", pa.bool_()), ("text", pa.string())])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text: of items one for the JSON itself where it is cut, and one for every string in it."""
+    for batch in batches:
+        out: list[tuple] = []
+        cols = [batch.column(c).to_pylist() for c in ("tbl", "row_id", "source", "title", "text")]
+        for tbl, row, source, title, text in zip(*cols, strict=True):
+            if text is None:
+                continue
+            if tbl != "items":
+                out.append((tbl, row, source, tbl, False, _same(text, title), text))
+                continue
+            cut, value = json_cut(text)
+            # a row of its own, so that a readable record without any string still counts as a text
+            out.append((tbl, row, source, "raw_json", cut, False, None))
+            out += [(tbl, row, source, key, False, _same(part, title), part) for key, part in strings_in(value)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_VALUES), _VALUES, strict=True)], schema=_VALUES)
+
+
+def _same(text: str, title: str | None) -> bool:
+    """Whether the text only repeats the record's title."""
+    return title is not None and " ".join(text.split()).casefold() == " ".join(title.split()).casefold()
 
 
 class Suffixes:
@@ -195,7 +223,7 @@ class Suffixes:
         if len(texts):
             for off in (0, 1, 2):
                 self.body[np.minimum(self.ends + off, len(self.codes) - 1)] = False
-        self.hashes, running, at = {}, np.zeros(len(self.codes), dtype=np.uint64), 0
+        self.hashes, self.checks, running, at = {}, {}, np.zeros(len(self.codes), dtype=np.uint64), 0
         for order in ORDERS:
             for k in range(at, order):
                 running = running.copy()
@@ -203,58 +231,86 @@ class Suffixes:
             at = order
             mixed = (running ^ (running >> np.uint64(29))) * _FACTOR
             self.hashes[order] = (mixed >> np.uint64(64 - BITS[ORDERS.index(order)])).astype(np.int64)
+            self.checks[order] = mixed.astype(np.uint32)
 
 
-_COUNTS = pa.schema([("o", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("m", pa.int64())])
-_SIZE = 4000
+_SIZE = 12_000
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list[str]]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, bool]], list[str]]]:
+    """Pieces of batches, their texts without marks of a cut (and whether the mark leaves no doubt), and those that aren't blank as the model sees them."""
     for batch in batches:
         for at in range(0, batch.num_rows, _SIZE):
             piece = batch.slice(at, _SIZE)
-            found = [(row, column, cut, None if text is None else stripped(text)) for row, column, cut, text in _entries(piece)]
-            yield piece, found, [normal(f[3][0]) for f in found if f[3] is not None and f[3][0]]
+            found = [("", False) if text is None else stripped(text) for text in piece.column("text").to_pylist()]
+            yield piece, found, [normal(text) for text, _ in found if text]
 
 
-def _emit(tables: list[np.ndarray], more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for o, (n, m) in enumerate(zip(tables, more, strict=True)):
-        at = np.flatnonzero((n > 0) | (m > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), o, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(m[at])], schema=_COUNTS)
+def _places(s: Suffixes, texts: list[str]) -> np.ndarray:
+    """Where the synthetic cuts fall."""
+    return s.place[s.raw_starts + np.array([min(len(t) - 1, _synthetic(t)) for t in texts], dtype=np.int64)] if texts else s.ends
 
 
-def _zeros() -> list[np.ndarray]:
-    return [np.zeros(1 << b, dtype=np.int64) for b in BITS]
+_ENDS = pa.schema([("o", pa.int32()), ("b", pa.int32()), ("f", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+_GOES = pa.schema([("o", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("m", pa.int64())])
 
 
 def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n: texts that end after the context; m: whether a synthetic cut falls there."""
-    n, m = _zeros(), _zeros()
+    """By context (bucket and check value), n: texts that end after it; m: synthetic cuts that fall there."""
     for _, _, texts in _groups(batches):
         s = Suffixes(texts)
-        cuts = s.place[s.raw_starts + np.array([min(len(t) - 1, _synthetic(t)) for t in texts], dtype=np.int64)] if texts else s.ends
+        cuts = _places(s, texts)
         for o, order in enumerate(ORDERS):
-            n[o] += np.bincount(s.hashes[order][s.ends[s.depth[s.ends] >= order]], minlength=len(n[o]))
-            m[o][s.hashes[order][cuts[s.depth[cuts] >= order]]] = 1
-    yield from _emit(n, m)
+            ends, falls = s.ends[s.depth[s.ends] >= order], cuts[s.depth[cuts] >= order]
+            at = np.concatenate([ends, falls])
+            codes = s.hashes[order][at].astype(np.uint64) << np.uint64(32) | s.checks[order][at]
+            unique, inverse = np.unique(codes, return_inverse=True)
+            n, both = np.bincount(inverse[: len(ends)], minlength=len(unique)), np.bincount(inverse, minlength=len(unique))
+            columns = [np.full(len(unique), o, dtype=np.int32), (unique >> np.uint64(32)).astype(np.int32), (unique & np.uint64(0xFFFFFFFF)).astype(np.int64), n.astype(np.int64), (both - n).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ENDS)
+
+
+def contexts(values: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per order and bucket the check value of the context kept there (-1: none) and how many texts end after it. Both
+    tables are on the driver; their size is bounded by ``BITS``."""
+    counted = values.mapInArrow(_count_ends, "o int, b int, f bigint, n bigint, m bigint").groupBy("o", "b", "f").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    kept = counted.groupBy("o", "b").agg(F.max(F.struct((F.col("n") + F.col("m")).alias("w"), "n", "f")).alias("k")).select("o", "b", F.col("k.f").alias("f"), F.col("k.n").alias("n")).toArrow()
+    checks, ends = [np.full(1 << b, -1, dtype=np.int64) for b in BITS], [np.zeros(1 << b, dtype=np.int64) for b in BITS]
+    o, b = kept.column("o").to_numpy(), kept.column("b").to_numpy()
+    for k in range(len(ORDERS)):
+        checks[k][b[o == k]], ends[k][b[o == k]] = kept.column("f").to_numpy()[o == k], kept.column("n").to_numpy()[o == k]
+    return checks, ends
 
 
 def _count_goings_on(wanted) -> object:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n: positions after which the text goes on; m: those of them inside a word."""
-        n, m, want = _zeros(), _zeros(), wanted.value
+        checks = wanted.value
+        n, m = ([np.zeros(1 << b, dtype=np.int64) for b in BITS] for _ in range(2))
         for _, _, texts in _groups(batches):
             s = Suffixes(texts)
             for o, order in enumerate(ORDERS):
                 bucket = s.hashes[order]
-                at = s.body & (s.depth >= order) & want[o][bucket]
+                at = s.body & (s.depth >= order) & (checks[o][bucket] == s.checks[order])
                 n[o] += np.bincount(bucket[at], minlength=len(n[o]))
                 m[o] += np.bincount(bucket[at & s.inside], minlength=len(m[o]))
-        yield from _emit(n, m)
+        for o in range(len(ORDERS)):
+            at = np.flatnonzero(n[o])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), o, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(n[o][at]), pa.array(m[o][at])], schema=_GOES)
 
     return count
 
 
+def goings_on(values: DataFrame, wanted) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per order and bucket how often texts go on after the context kept there, and how often inside a word."""
+    found = values.mapInArrow(_count_goings_on(wanted), "o int, b int, n bigint, m bigint").groupBy("o", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+    n, m = ([np.zeros(1 << b, dtype=np.int64) for b in BITS] for _ in range(2))
+    o, b = found.column("o").to_numpy(), found.column("b").to_numpy()
+    for k in range(len(ORDERS)):
+        n[k][b[o == k]], m[k][b[o == k]] = found.column("n").to_numpy()[o == k], found.column("m").to_numpy()[o == k]
+    return n, m
+
+
 _SCORED = "tbl string, row_id bigint, source string, field string, lang string, sure boolean, settled boolean, score double, synthetic double"
 
 
@@ -263,14 +319,14 @@ def _score(model) -> object:
                         ("sure", pa.bool_()), ("settled", pa.bool_()), ("score", pa.float64()), ("synthetic", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, goes, within = model.value
+        checks, ends, goes, within = model.value
 
         def odds(s: Suffixes, at: np.ndarray, own_end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             result, inside, best = np.full(len(at), np.nan), np.zeros(len(at), dtype=bool), np.full(len(at), -np.inf)
             for o, order in enumerate(ORDERS):  # longer contexts overwrite
                 bucket = s.hashes[order][at]
                 e, g, w = np.maximum(ends[o][bucket] - own_end, 0), np.maximum(goes[o][bucket] - (1 - own_end), 0), within[o][bucket]
-                fits = (s.depth[at] >= order) & (e + g >= EVIDENCE)
+                fits = (s.depth[at] >= order) & (e + g >= EVIDENCE) & (checks[o][bucket] == s.checks[order][at])
                 result[fits] = np.log((e[fits] + 0.2) / (g[fits] + 1.0))
                 best[fits] = np.maximum(best[fits], result[fits])
                 if order > 2:
@@ -280,26 +336,23 @@ def _score(model) -> object:
         for piece, found, texts in _groups(batches):
             s = Suffixes(texts)
             natural, midword, best = odds(s, s.ends, 1) if texts else (np.zeros(0),) * 3
-            cuts = s.place[s.raw_starts + np.array([min(len(t) - 1, _synthetic(t)) for t in texts], dtype=np.int64)] if texts else s.ends
-            synthetic, _, _ = odds(s, cuts, 0) if texts else (natural,) * 3
-            tables, ids, sources = (piece.column(c).to_pylist() for c in ("tbl", "row_id", "source"))
+            synthetic, _, _ = odds(s, _places(s, texts), 0) if texts else (natural,) * 3
+            tables, ids, sources, fields, cuts, same = (piece.column(c).to_pylist() for c in ("tbl", "row_id", "source", "field", "cut", "title"))
             rows, k = [], 0
-            for row, column, cut, text in found:
-                if text is None:
-                    rows.append((tables[row], ids[row], sources[row], column, "json", cut, False, None, None))
-                    continue
-                bare, marked = text
+            for row, (bare, marked) in enumerate(found):
+                head = (tables[row], ids[row], sources[row], fields[row])
                 if not bare:
+                    if fields[row] == "raw_json" or tables[row] != "items":
+                        rows.append((*head, "none", cuts[row], True, None, None))
                     continue
-                if column != "title":
-                    short = len(bare) < SHORTEST
-                    hanging = bool(midword[k]) and not _COMPLETE_URL.search(bare[-200:])
-                    sure = marked or (not short and (hanging or open_ended(bare)))
-                    score = best[k] if _SENTENCE_END.search(bare[-12:]) else natural[k]
-                    settled = short or bare.endswith("```") or (len(bare) <= 160 and not _SENTENCE.search(bare) and tables[row] != "items")
-                    rows.append((tables[row], ids[row], sources[row], column, language(bare), sure, settled, _number(score), _number(synthetic[k])))
+                prose = bool(_PROSE.search(bare)) and not _PLACEHOLDER.match(bare)
+                hanging = bool(midword[k]) and not _COMPLETE_URL.search(bare[-200:])
+                sure = marked or (prose and (hanging or open_ended(bare)))
+                ended = _SENTENCE_END.search(bare[-12:])
+                settled = not prose or same[row] or bare.endswith("```")
+                rows.append((*head, language(bare), sure, settled, _number(best[k] if ended else natural[k]), _number(synthetic[k])))
                 k += 1
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return score
 
@@ -308,27 +361,14 @@ def _number(value: float) -> float | None:
     return float(value) if math.isfinite(value) else None
 
 
-def _tables(counted: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Both hashed tables on the driver; their size is bounded by ``BITS``."""
-    n, m = _zeros(), _zeros()
-    found = counted.groupBy("o", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
-    o, b = found.column("o").to_numpy(), found.column("b").to_numpy()
-    for k in range(len(ORDERS)):
-        n[k][b[o == k]] = found.column("n").to_numpy()[o == k]
-        m[k][b[o == k]] = found.column("m").to_numpy()[o == k]
-    return n, m
-
-
 def scored_values(texts: DataFrame) -> DataFrame:
-    """``texts``: tbl, row_id, source, text. One row per value with the log-odds of its end and the exact checks."""
+    """``texts``: tbl, row_id, source, title, text. One row per value with the log-odds of its end and the exact checks."""
     context = texts.sparkSession.sparkContext
-    schema = "o int, b int, n bigint, m bigint"
-    ends, synthetic = _tables(texts.mapInArrow(_count_ends, schema))
-    wanted = context.broadcast([(e > 0) | (s > 0) for e, s in zip(ends, synthetic, strict=True)])
-    goes, within = _tables(texts.mapInArrow(_count_goings_on(wanted), schema))
-    small = lambda tables: [t.astype(np.int32) for t in tables]
-    model = context.broadcast((small(ends), small(goes), small(within)))
-    return cut_lineage(texts.mapInArrow(_score(model), _SCORED))
+    # JSON is read once; the three passes of the model see a narrow table of texts
+    values = written(texts.mapInArrow(_read, "tbl string, row_id bigint, source string, field string, cut boolean, title boolean, text string"))
+    checks, ends = contexts(values.select("text"))
+    goes, within = goings_on(values.select("text"), context.broadcast(checks))
+    return cut_lineage(values.mapInArrow(_score(context.broadcast((checks, ends, goes, within))), _SCORED))
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
@@ -343,16 +383,20 @@ def thresholds(scored: DataFrame) -> DataFrame:
     gain = F.sum("cut").over(below) / F.sum("cut").over(whole) - 2 * F.sum("natural").over(below) / F.sum("natural").over(whole)
     ranked = bins.withColumn("gain", F.round(gain, 4)).withColumn("best", F.max("gain").over(whole))
     # halfway between the first and the last place that separate about equally well
-    best = ranked.where(F.col("gain") >= F.col("best") - 0.01).groupBy("field", "lang").agg(F.avg("at").alias("at"))
+    best = ranked.where((F.col("gain") >= F.col("best") - 0.01) & (F.col("best") >= LEAST_GAIN)).groupBy("field", "lang").agg(F.avg("at").alias("at"))
     return best.select("field", "lang", ((F.col("at") + 1) * step).alias("threshold"))
 
 
 def texts_of(translations: DataFrame, releases: DataFrame, items: DataFrame) -> DataFrame:
-    pick = lambda df, name, source, text: df.select(F.lit(name).alias("tbl"), "row_id", source.alias("source"), F.col(text).alias("text"))
+    def pick(df: DataFrame, name: str, source: str, title: str, text: str) -> DataFrame:
+        given = F.col(title) if title in df.columns else F.lit(None).cast("string")
+        by = canonical_name(F.col(source)) if source == "source_id" else F.col(source)
+        return df.select(F.lit(name).alias("tbl"), "row_id", by.alias("source"), given.alias("title"), F.col(text).alias("text"))
+
     return (
-        pick(translations, "translations_zh", F.col("model"), "summary_zh")
-        .unionByName(pick(releases, "releases", canonical_name(F.col("source_id")), "body"))
-        .unionByName(pick(items, "items", canonical_name(F.col("source_id")), "raw_json"))
+        pick(translations, "translations_zh", "model", "title_zh", "summary_zh")
+        .unionByName(pick(releases, "releases", "source_id", "name", "body"))
+        .unionByName(pick(items, "items", "source_id", "title", "raw_json"))
     )
 
 
@@ -360,7 +404,7 @@ def judged(scored: DataFrame) -> DataFrame:
     """(tbl, row_id, source, cut): one row per record that has a text."""
     limits = thresholds(scored)
     cut = F.col("sure") | (~F.col("settled") & F.coalesce(F.col("score") < F.col("threshold"), F.lit(False)))
-    return scored.join(F.broadcast(limits), ["field", "lang"], "left").groupBy("tbl", "row_id", "source").agg(F.max(cut).alias("cut"))
+    return scored.join(limits, ["field", "lang"], "left").groupBy("tbl", "row_id", "source").agg(F.max(cut).alias("cut"))
 
 
 def cut_records(translations: DataFrame, releases: DataFrame, items: DataFrame) -> DataFrame:
