@@ -1,63 +1,79 @@
 """Defective prompt-response pairs: a story (title, summary) and its translation (title_zh, summary_zh).
 
 A multi-label linear classifier (logistic, one weight vector per defect) on hashed character n-grams, hashed
-endings and pair features is trained on responses made defective on purpose: cut, copied from their own source
-(also labelled, re-cased, with words left out), swapped for another story's text or another script, or refused.
-The base of training is a sample of at most ``SAMPLE`` pairs, drawn by hash; its own suspicious members are
-left out after a first round. A fifth of the examples is held out to calibrate one threshold per defect.
-Applying the model covers every pair and every whole text.
+endings and pair features (shares of scripts, overlap with the source, shared names, lengths, a mark of a cut) is
+trained on responses made defective on purpose: cut, copied from their own source (also labelled, re-cased, with words
+left out), swapped for another story's text or another script, or refused. Refusals are put together from parts in
+several languages; nothing but the model decides about them, so ones put together otherwise are found by their n-grams. The base of
+training is a sample of at most ``SAMPLE`` pairs, drawn by hash; its own suspicious members are left out after a first
+round. A fifth of the pairs is held out, with refusals of parts that training never sees, to calibrate one threshold per
+defect. Applying the model covers every pair and every whole text, a batch as one array.
 
 'empty' needs no model: it is an exact check for null, blank or placeholder text. Where several defects apply,
-the first of empty, refusal, copy, wrong_language, truncated is given. A pair whose story is missing or has no
-text can't be a copy. An empty table gives an empty result.
+the first of empty, refusal, copy, wrong_language, truncated is given. Overlap is counted against every record
+of the story, by joins of hashed pieces, so that a copy of any of them is seen. A pair whose story is missing or has no
+text can't be a copy. An empty table gives an empty result; repeated rows each count; more columns change nothing.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import titles
-from tidewright.llm.truncation import open_ended, stripped
+from tidewright.llm.truncation import stripped
 
 #: Pairs the classifier is trained on, at most.
 SAMPLE = 2000
 LABELS = ("refusal", "copy", "wrong_language", "truncated")
 BITS = 18
+#: Characters of a piece that is compared with the source.
+PIECE = 5
 
 # Placeholders beside those without any letter or digit.
 PLACEHOLDER = re.compile(r"^\W*(?:n/?a|none|null|nil|undefined|tbd|todo|nan|無|无|暫無(?:摘要|標題|內容)?|暂无(?:摘要)?|待補|待翻譯|略|空|未提供|無摘要|無標題|沒有內容|untitled|title|summary|summary_zh|title_zh)?\W*$", re.I)
 _INVISIBLE = re.compile(r"[\s​-‏⁠﻿]+")
 _LABEL = re.compile(r"^\s*(?:摘要|標題|翻譯|譯文|導讀|原文|中文|summary_zh|title_zh|summary|title|translation)\s*[:：]\s*", re.I)
 _QUOTED = re.compile(r"「[^「」]*」|『[^『』]*』|《[^《》]*》|“[^“”]*”|\"[^\"]*\"|（[^（）]*）|https?://\S+")
-_PROPER_END = re.compile(r"(?:[。！？!?]|[A-Za-z)%]\.)[」』）)\"”]*$|#\w+$|https?://[^\s/]+/\S+$|（[^（）]*）$")
-_NUMBER_END = re.compile(r"(?:^|[^/\w.#])\d+[.,]?$")
 _WORD = re.compile(r"[a-zà-ÿ0-9]+")
-
-# How assistants decline, in the languages they do it in; {} stands for the subject.
-REFUSALS = (
-    "很抱歉，我無法為這篇內容產生摘要。", "抱歉，由於未提供 {} 的全文，無法撰寫導讀。", "對不起，我不能協助處理這個請求。", "我無法回答這個問題。",
-    "作為一個人工智慧助理，我沒有能力完成這項任務。", "身為語言模型，我不能提供翻譯。", "恕我無法遵從這項指示，請洽原作者。", "基於安全考量，我必須婉拒這次的請求。",
-    "此請求涉及版權內容，恕難協助改寫 {}。", "我不便對 {} 的內容多作說明，請自行查閱原文。", "無法完成此任務：輸入內容不符合政策。", "本次不產生導讀，請直接閱讀原文。",
-    "我沒有辦法開啟連結或閱讀附件，因此幫不上忙。", "這個要求超出我能處理的範圍，請改問其他問題。", "抱歉，我无法完成这个请求。", "很遗憾，我不能提供该内容的摘要。",
-    "I'm sorry, but I can't help with that.", "I cannot provide a summary of {} because the full text was not supplied.", "As an AI language model, I am unable to complete this request.",
-    "Sorry, {} is not available to me, so I won't be able to write the guide.", "Unfortunately this request falls outside what I can assist with.", "My guidelines do not allow me to process this document.",
-    "I must decline to translate this text.", "I apologize, but I am not able to summarise {}.", "Je suis désolé, mais je ne peux pas répondre à cette demande.", "Je ne suis pas en mesure de résumer ce document.",
-    "Es tut mir leid, aber ich kann diese Anfrage nicht bearbeiten.", "Leider kann ich diesen Text nicht übersetzen.", "Lo siento, pero no puedo ayudar con esta solicitud.", "No me es posible resumir {}.",
-    "申し訳ありませんが、このリクエストにはお応えできません。", "AIとして、この文書を要約することはできません。", "죄송하지만 이 요청을 처리할 수 없습니다.", "저는 이 문서를 요약할 수 없습니다.",
-)
-_DECLINE = re.compile(
-    r"無法|不能|恕難|婉拒|不便|幫不上|沒有辦法|不產生|未能|无法|抱歉|遺憾|對不起|恕我|不予|超出.{0,8}範圍|cannot|can't|can not|unable|won't be able|not able|sorry|decline|not allow|outside what i|unfortunately|apologi[sz]e|"
-    r"désolé|ne peux pas|pas en mesure|leid|kann ich|leider|lo siento|no puedo|できません|お応え|申し訳|죄송|없습니다",
-    re.I,
-)
+_NAME = re.compile(r"[A-Za-z]{4,}")
+
+# Parts of refusals by language: openings, that it can't be done, what can't be done, reasons. {} stands for the subject.
+PARTS = {
+    "zh": (
+        ("很抱歉，", "抱歉，", "對不起，", "不好意思，", "恕我直言，", "非常遺憾，", "請見諒，", ""),
+        ("我無法", "我不能", "我沒有辦法", "恕難", "本系統不便", "身為語言模型，我不會", "作為人工智慧助理，我沒有能力", "我必須婉拒", "目前不支援", "我被禁止", "本次不予"),
+        ("協助處理這個請求", "翻譯這段文字", "為這篇內容產生摘要", "撰寫 {} 的導讀", "回答這個問題", "完成這項任務", "改寫 {} 的內容", "提供您要的資訊", "對 {} 多作說明", "執行這項指示"),
+        ("。", "，因為未提供全文。", "，此請求涉及版權。", "，輸入內容不符合使用政策。", "，請直接閱讀原文。", "，這超出我能處理的範圍。", "，請洽原作者。", "，我無從開啟連結或閱讀附件。", "，請改問其他問題。", "，基於安全考量。"),
+    ),
+    "zh_s": (
+        ("很抱歉，", "对不起，", "很遗憾，", "不好意思，", ""),
+        ("我无法", "我不能", "作为人工智能助手，我没有能力", "我必须拒绝", "暂不支持", "恕难"),
+        ("完成这个请求", "提供该内容的摘要", "翻译这段文字", "回答这个问题", "为 {} 撰写导读"),
+        ("。", "，因为没有提供全文。", "，请直接阅读原文。", "，这违反了使用政策。", "，请尝试其他问题。"),
+    ),
+    "en": (
+        ("I'm sorry, but ", "Sorry, ", "Unfortunately, ", "I apologize, but ", "Regrettably, ", "As an AI language model, ", "Thank you for asking, however ", ""),
+        ("I cannot ", "I can't ", "I am unable to ", "I won't be able to ", "I must decline to ", "I'm not able to ", "it is not possible for me to ", "my guidelines do not allow me to ", "I don't feel comfortable to ", "I have to refuse to "),
+        ("help with that", "provide a summary of {}", "translate this text", "complete this request", "write the guide for {}", "process this document", "answer this question", "assist with this task", "access the article", "open links or attachments"),
+        (".", " because the full text was not supplied.", " as it may be protected by copyright.", ". Please consult the original source.", ". This falls outside what I can do.", " due to our content policy.", ". Please ask something else.", ", since the input violates the usage policy."),
+    ),
+    "ja": (("申し訳ありませんが、", "恐れ入りますが、", "AIとして、", "残念ながら、", ""), ("この文書を", "そのリクエストを", "{} の内容を", "この質問に"), ("要約することはできません", "翻訳できません", "お応えできません", "処理することはできかねます", "お手伝いできません"), ("。", "。原文をご覧ください。", "。ポリシーに反するためです。")),
+    "ko": (("죄송하지만 ", "유감스럽게도 ", "AI로서 ", ""), ("이 요청을 ", "이 문서를 ", "{} 내용을 ", "이 질문에 "), ("처리할 수 없습니다", "요약할 수 없습니다", "번역해 드릴 수 없습니다", "답변드릴 수 없습니다"), (".", ". 원문을 참고해 주세요.", ". 정책에 위배됩니다.")),
+    "fr": (("Je suis désolé, mais ", "Désolé, ", "Malheureusement, ", ""), ("je ne peux pas ", "je ne suis pas en mesure de ", "il m'est impossible de ", "je refuse de "), ("répondre à cette demande", "résumer ce document", "traduire ce texte", "traiter {}"), (".", ", car le texte complet n'a pas été fourni.", ". Veuillez consulter la source.")),
+    "de": (("Es tut mir leid, aber ", "Leider ", "Entschuldigung, ", ""), ("kann ich ", "darf ich ", "ist es mir nicht möglich, "), ("diese Anfrage nicht bearbeiten", "diesen Text nicht übersetzen", "{} nicht zusammenfassen", "dabei nicht helfen"), (".", ", da der Volltext fehlt.", ". Bitte lesen Sie das Original.")),
+    "es": (("Lo siento, pero ", "Lamentablemente, ", "Disculpa, ", ""), ("no puedo ", "no me es posible ", "no tengo permitido "), ("ayudar con esta solicitud", "resumir {}", "traducir este texto", "procesar el documento"), (".", " porque falta el texto completo.", ". Consulte la fuente original.")),
+    "pt": (("Desculpe, mas ", "Infelizmente, ", ""), ("não posso ", "não consigo ", "não estou autorizado a "), ("ajudar com este pedido", "resumir {}", "traduzir este texto"), (".", " porque falta o texto completo.", ". Consulte a fonte original.")),
+    "ru": (("Извините, но ", "К сожалению, ", ""), ("я не могу ", "я не в состоянии ", "мне запрещено "), ("помочь с этим запросом", "перевести этот текст", "кратко изложить {}"), (".", ", так как полный текст не предоставлен.", ". Обратитесь к источнику.")),
+}
+#: How often each language is drawn.
+DRAWN = ("zh", "zh", "zh", "zh", "zh_s", "en", "en", "en", "ja", "ko", "fr", "de", "es", "pt", "ru")
 
 
 @lru_cache(maxsize=40_000)
@@ -80,70 +96,106 @@ def script(sign: str) -> str:
     return "letter" if sign.isalpha() else "other"
 
 
-def scripts(text: str) -> dict[str, float]:
-    """Share of each script among the letters, Latin words counting half a sign a letter since they run longer."""
-    counts = {"han": 0.0, "han_s": 0.0, "han_t": 0.0, "kana": 0.0, "hangul": 0.0, "letter": 0.0}
-    for sign in text:
-        kind = script(sign)
-        if kind in counts:
-            counts[kind] += 1
-    total = counts["han"] + counts["han_s"] + counts["han_t"] + counts["kana"] + counts["hangul"] + counts["letter"] / 2
-    shares = {k: v / total if total else 0.0 for k, v in counts.items()}
-    shares["letter"] /= 2
-    return shares
+SCRIPTS = ("han", "han_s", "han_t", "kana", "hangul", "letter")
 
 
-def grams(text: str) -> set[str]:
-    words = " ".join(_WORD.findall(text.lower()))
-    return {words[i : i + 5] for i in range(max(1, len(words) - 4))} if words else set()
+@lru_cache(maxsize=1)
+def script_table() -> np.ndarray:
+    """The number of the script of every code point; characters beyond the first 0x30000 are neither."""
+    found = np.full(0x110000, len(SCRIPTS), dtype=np.uint8)
+    for code in range(0x30000):
+        kind = script(chr(code))
+        if kind != "other":
+            found[code] = SCRIPTS.index(kind)
+    script.cache_clear()
+    return found
 
 
-def contained(text: str, source: set[str]) -> float:
-    own = grams(_LABEL.sub("", text))
-    return len(own & source) / len(own) if own and source else 0.0
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts end to end, and the text each belongs to."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
 
-def _hash(kind: str, gram: str) -> int:
-    return zlib.crc32((kind + gram).encode("utf-8", "replace")) & ((1 << BITS) - 1)
+def script_shares(texts: list[str]) -> np.ndarray:
+    """(text, script): the share of each script among the letters, Latin words counting half a sign a letter since they run longer."""
+    codes, owner = codes_of(texts)
+    wide = len(SCRIPTS) + 1
+    counts = np.bincount(owner * wide + script_table()[codes], minlength=len(texts) * wide).reshape(len(texts), wide)[:, :-1].astype(float)
+    counts[:, -1] /= 2
+    return counts / np.maximum(1e-9, counts.sum(axis=1, keepdims=True))
 
 
-DENSE = 34
+def foreign(shares: np.ndarray) -> np.ndarray:
+    """Share of each text that isn't Traditional Chinese; Japanese and Simplified Chinese share most of its characters
+    and count as a whole by those they don't."""
+    han, simplified, traditional, kana = shares[:, 0], shares[:, 1], shares[:, 2], shares[:, 3]
+    whole = (kana > 0.12) | ((simplified > 0.08) & (simplified > 2 * traditional))
+    return np.where(whole, 1.0, np.where(shares.sum(axis=1) > 0, 1 - han - traditional - simplified, 0.0))
 
 
-def features(title: str, summary: str, source_title: str, source_summary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams that occur, and the dense pair features."""
-    bare, marked = stripped(summary)
-    body = _LABEL.sub("", bare)
-    prose = _QUOTED.sub("", body) or body
-    hashed = {_hash("t", title[i : i + 2]) for i in range(len(title) - 1)}
-    hashed.update(_hash("b", body[i : i + n]) for n in (2, 3) for i in range(len(body) - n + 1))
-    hashed.update(_hash(f"e{n}", re.sub(r"\d+", "9", bare[-n - 8 :])[-n:]) for n in (1, 2, 3, 4, 6, 8))
-    source = grams(source_title) | grams(source_summary)
-    st, ss = scripts(_QUOTED.sub("", title) or title), scripts(prose)
-    in_title, in_summary = contained(title, source) * (st["letter"] > 0.5), contained(body, source) * (ss["letter"] > 0.5)
-    foreign_t, foreign_s = foreign(st), foreign(ss)
-    asked = bool(_DECLINE.search(prose))
-    dense = [
-        1.0, st["letter"], st["kana"], st["hangul"], min(1.0, 4 * st["han_s"]), st["han_t"], ss["letter"], ss["kana"], ss["hangul"], min(1.0, 4 * ss["han_s"]), ss["han_t"],
-        in_title, in_summary, float(in_title > 0.7), float(in_summary > 0.7), foreign_t, foreign_s, float(foreign_t > 0.5), float(foreign_s > 0.5),
-        float(max(foreign_s, foreign_t) > 0.5 and max(in_title, in_summary) < 0.6), float(asked), float(asked and len(prose) < 260), float(asked and len(_DECLINE.findall(prose)) * 40 > len(prose)),
-        float(marked), float(bare[-1:] in "。！？.!?」）)\"”"), float(open_ended(bare) or bool(_NUMBER_END.search(bare))) if bare else 0.0, float(bare[-1:].isalnum()),
-        float(bool(re.search(r"[。！？!?][」』）)\"”]*$|[A-Za-z)%][.]$", bare))), min(2.0, len(summary) / 200), float(len(summary) < 60),
-        float(bool(_LABEL.match(bare))), float(bool(re.search(r"#\S+$|https?://\S+$|[）)]$", bare))), ss["letter"] * (ss["han"] + ss["han_t"]), float(kana_mixed(ss)),
-    ]
-    return np.fromiter(hashed, dtype=np.int64, count=len(hashed)), np.array(dense)
+def pieces(text: str) -> set[str]:
+    """The words of a text, ``PIECE`` characters at a time."""
+    words = " ".join(_WORD.findall(text.lower()))
+    return {words[i : i + PIECE] for i in range(max(1, len(words) - PIECE + 1))} if words else set()
 
 
-def foreign(shares: dict[str, float]) -> float:
-    """Share of the text that isn't Traditional Chinese; Japanese and Simplified Chinese share most of its characters
-    and count as a whole by those they don't."""
-    if shares["kana"] > 0.12 or (shares["han_s"] > 0.08 and shares["han_s"] > 2 * shares["han_t"]):
-        return 1.0
-    return 1 - shares["han"] - shares["han_t"] - shares["han_s"]
+def contained(text: str, source: set[str]) -> float:
+    own = pieces(_LABEL.sub("", text))
+    return len(own & source) / len(own) if own and source else 0.0
 
 
-def kana_mixed(shares: dict[str, float]) -> bool:
-    return shares["kana"] > 0.12
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _ngrams(codes: np.ndarray, owner: np.ndarray, n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every n-gram inside a text."""
+    if len(codes) < n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    last = len(codes) - n + 1
+    value = np.full(last, kind * 31 + n, dtype=np.uint64)
+    for k in range(n):
+        value = (value ^ codes[k : k + last].astype(np.uint64)) * _MIX
+        value ^= value >> np.uint64(29)
+    whole = owner[:last] == owner[n - 1 :]
+    return owner[:last][whole], (value[whole] >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+#: Lengths of the endings that are features of their own.
+ENDINGS = (1, 2, 3, 4, 6, 8)
+DENSE = 26
+
+
+def features(title: list[str], summary: list[str], in_title: np.ndarray, in_summary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams that occur in each row (where each row's begin, and all of them in order), and the dense pair features.
+    ``in_title`` and ``in_summary``: how much of each is contained in the source."""
+    bare, marked = map(list, zip(*[stripped(s) for s in summary], strict=True)) if summary else ([], [])
+    body = [_LABEL.sub("", b) for b in bare]
+    prose = [_QUOTED.sub("", b) or b for b in body]
+    said = [_QUOTED.sub("", t) or t for t in title]
+    found = [_ngrams(*codes_of(title), 2, 1)]
+    laid = codes_of(body)
+    found += [_ngrams(*laid, n, 2) for n in (2, 3)]
+    for n in ENDINGS:
+        # the text before a digit's run doesn't matter: all digits are one; one gram a text
+        tails = [re.sub(r"\d+", "9", b[-n - 8 :])[-n:].rjust(n, "\0") for b in bare]
+        found.append(_ngrams(*codes_of(tails), n, 3))
+    rows, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
+    unique = np.unique(rows << BITS | hashed)
+    rows, hashed = unique >> BITS, unique & ((1 << BITS) - 1)
+    begin = np.searchsorted(rows, np.arange(len(title) + 1))
+    st, ss = script_shares(said), script_shares(prose)
+    ft, fs = foreign(st), foreign(ss)
+    it, is_ = in_title * (st[:, 5] > 0.5), in_summary * (ss[:, 5] > 0.5)
+    size = np.array([len(s) for s in summary], dtype=float)
+    names = [set(map(str.lower, _NAME.findall(t))) for t in title]
+    named = np.array([bool(n) and any(x in s for x in n) for n, s in zip(names, map(str.lower, body), strict=True)], dtype=float)
+    labelled = np.array([bool(_LABEL.match(b)) for b in bare], dtype=float)
+    dense = np.column_stack([
+        np.ones(len(title)), st[:, 5], st[:, 3], st[:, 4], np.minimum(1, 4 * st[:, 1]), st[:, 2], ss[:, 5], ss[:, 3], ss[:, 4], np.minimum(1, 4 * ss[:, 1]), ss[:, 2],
+        it, is_, it > 0.7, is_ > 0.7, ft, fs, ft > 0.5, fs > 0.5, (np.maximum(ft, fs) > 0.5) & (np.maximum(it, is_) < 0.6),
+        np.array(marked, dtype=float).reshape(-1), named, np.minimum(2, size / 200), size < 60, labelled, ss[:, 3] > 0.12,
+    ]).astype(float)
+    return begin, hashed, dense
 
 
 def empty(text: str | None) -> bool:
@@ -181,13 +233,20 @@ def _foreign(rng: np.random.Generator, text: str, other: str) -> str:
 _SIMPLIFIED = [c for c in map(chr, range(0x4E00, 0x9FA6)) if script(c) == "han_s"]
 
 
-def _refuse(rng: np.random.Generator, subject: str) -> str:
-    picked = [REFUSALS[int(i)].replace("{}", subject) for i in rng.integers(len(REFUSALS), size=int(rng.integers(1, 3)))]
-    return "".join(picked)
+def _refuse(rng: np.random.Generator, subject: str, held: bool, languages: tuple[str, ...] = DRAWN) -> str:
+    """A refusal of random parts; ``held``: of those parts (every fourth) that training never uses."""
+    language = languages[int(rng.integers(len(languages)))]
+    out = ""
+    for _ in range(int(rng.integers(1, 3))):
+        for parts in PARTS[language]:
+            some = [p for k, p in enumerate(parts) if (k % 4 == 1) == held] or list(parts)
+            out += some[int(rng.integers(len(some)))]
+        out += "" if language in ("zh", "zh_s", "ja") else " "
+    return out.strip().replace("{}", subject)
 
 
-def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Each pair as it is and spoilt in every way, with its labels."""
+def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7, held: bool = False) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Features of each pair as it is and spoilt in every way, with its labels."""
     rng, rows, labels = np.random.default_rng(seed), [], []
     for k, (title, summary, st, ss) in enumerate(pairs):
         other = pairs[(k * 7 + 13) % len(pairs)]
@@ -199,93 +258,110 @@ def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7) -> tuple[li
         while cut and cut[-1] in "。！？":
             cut = cut[:-1]
         cut += ("", "", "", "…", "...", "⋯⋯", "�")[int(rng.integers(7))]
-        made = [((title, summary), ()), ((title, cut), ("truncated",)), ((title, _refuse(rng, subject)), ("refusal",))]
+        made = [((title, summary), ()), ((title, cut), ("truncated",))]
+        made += [((title, _refuse(rng, subject, held)), ("refusal",)) for _ in range(2)]
         source = (st, ss, f"{st}\n{ss}")[int(rng.integers(3))]
         if source.strip():
             made.append(((title, _spoil(rng, source)), ("copy",)))
         if st.strip() and rng.random() < 0.4:
             made.append(((_spoil(rng, st), summary), ("copy",)))
-        foreign = _foreign(rng, summary, other[3])
-        if foreign != summary:
-            mixed = summary.split("。")[0] + "。" + foreign if rng.random() < 0.2 and len(foreign) > 150 else foreign
+        swapped = _foreign(rng, summary, other[3])
+        if swapped != summary:
+            mixed = summary.split("。")[0] + "。" + swapped if rng.random() < 0.2 and len(swapped) > 150 else swapped
             made.append(((title, mixed), ("wrong_language",)))
-        foreign = _foreign(rng, title, other[2])
-        if foreign != title and rng.random() < 0.4:
-            made.append(((foreign, summary), ("wrong_language",)))
+        swapped = _foreign(rng, title, other[2])
+        if swapped != title and rng.random() < 0.4:
+            made.append(((swapped, summary), ("wrong_language",)))
+        known = pieces(st) | pieces(ss)
         for (t, s), given in made:
-            rows.append(features(t, s, st, ss))
+            rows.append((t, s, contained(t, known), contained(stripped(s)[0], known)))
             labels.append([float(label in given) for label in LABELS])
-    return rows, np.array(labels)
+    t, s, it, is_ = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
+    return features(t, s, np.array(it), np.array(is_)), np.array(labels).reshape(-1, len(LABELS))
 
 
-def _scores(rows: list[tuple[np.ndarray, np.ndarray]], hashed: np.ndarray, dense: np.ndarray) -> np.ndarray:
+def scores(rows: tuple[np.ndarray, np.ndarray, np.ndarray], hashed: np.ndarray, dense: np.ndarray) -> np.ndarray:
     """Log-odds per row and label."""
-    sizes = np.array([len(h) for h, _ in rows])
-    out = np.stack([d for _, d in rows]) @ dense
-    if sizes.sum():
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        found = hashed[np.concatenate([h for h, _ in rows])]
-        for l in range(len(LABELS)):
-            out[:, l] += np.bincount(owner, weights=found[:, l], minlength=len(rows)) / np.sqrt(np.maximum(1, sizes))
+    begin, grams, pair = rows
+    out, sizes = pair @ dense, np.diff(begin)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] += np.add.reduceat(hashed[grams], begin[:-1][some], axis=0) / np.sqrt(sizes[some])[:, None]
     return out
 
 
-#: Share of the training examples that are shown without their n-grams, so that the pair features learn to decide alone.
-BARE = 0.5
+def _picked(rows: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows ``at``; those marked ``bare`` without their n-grams."""
+    begin, grams, pair = rows
+    sizes = np.where(bare, 0, np.diff(begin)[at])
+    ends = np.cumsum(sizes)
+    place = np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return np.r_[0, ends], grams[place], pair[at]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 5, rate: float = 0.2, seed: int = 3, bare: float = BARE) -> tuple[np.ndarray, np.ndarray]:
+#: Share of the training examples that are shown without their n-grams, so that the pair features learn what they can alone.
+BARE = 0.25
+
+
+def train(rows: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, epochs: int = 5, rate: float = 0.2, seed: int = 3, bare: float = BARE) -> tuple[np.ndarray, np.ndarray]:
     """AdaGrad on the logistic loss of every label, a small batch at a time."""
-    rng, none = np.random.default_rng(seed), np.zeros(0, dtype=np.int64)
+    rng = np.random.default_rng(seed)
     hashed, dense = np.zeros((1 << BITS, len(LABELS))), np.zeros((DENSE, len(LABELS)))
     seen_h, seen_d = np.full_like(hashed, 1e-2), np.full_like(dense, 1e-2)
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
-            batch = [(none if rng.random() < bare else rows[i][0], rows[i][1]) for i in at]
-            wrong = 1 / (1 + np.exp(-np.clip(_scores(batch, hashed, dense), -30, 30))) - labels[at]
-            sizes = np.array([len(h) for h, _ in batch])
-            if sizes.sum():
-                owner = np.repeat(np.arange(len(batch)), sizes)
-                unique, inverse = np.unique(np.concatenate([h for h, _ in batch]), return_inverse=True)
+        for at in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
+            batch = _picked(rows, at, rng.random(len(at)) < bare)
+            wrong = 1 / (1 + np.exp(-np.clip(scores(batch, hashed, dense), -30, 30))) - labels[at]
+            sizes = np.diff(batch[0])
+            if len(batch[1]):
+                owner = np.repeat(np.arange(len(at)), sizes)
+                order = np.argsort(batch[1], kind="stable")
+                grams = batch[1][order]
+                edges = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
                 share = wrong / np.sqrt(np.maximum(1, sizes))[:, None]
-                push = np.stack([np.bincount(inverse, weights=share[owner, l], minlength=len(unique)) for l in range(len(LABELS))], axis=1) + 1e-3 * hashed[unique]
+                unique = grams[edges]
+                push = np.add.reduceat(share[owner[order]], edges, axis=0) + 1e-3 * hashed[unique]
                 seen_h[unique] += push**2
                 hashed[unique] -= 0.5 * rate * push / np.sqrt(seen_h[unique])
-            push = np.stack([d for _, d in batch]).T @ wrong
+            push = batch[2].T @ wrong
             seen_d += push**2
             dense -= rate * push / np.sqrt(seen_d)
     return hashed, dense
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Per label the log-odds with the best F1, sound rows weighing as much as they do in practice (ten to one)."""
-    limits = np.zeros(len(LABELS))
-    sound = labels.sum(axis=1) == 0
+def calibrate(given: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Per label the log-odds with the best F1, sound rows weighing as much as they do in practice (ten to one); of
+    log-odds that do equally well the middle."""
+    limits, sound = np.zeros(len(LABELS)), labels.sum(axis=1) == 0
     for l in range(len(LABELS)):
-        best = -1.0
-        for limit in np.quantile(scores[labels[:, l] > 0, l], np.linspace(0, 0.5, 101)) if (labels[:, l] > 0).any() else [0.0]:
-            hit = (scores[labels[:, l] > 0, l] >= limit).sum()
-            false = 10 * (scores[sound, l] >= limit).sum() + (scores[(labels[:, l] == 0) & ~sound, l] >= limit).sum()
-            f1 = 2 * hit / max(1, 2 * hit + false + (labels[:, l] > 0).sum() - hit)
-            if f1 > best + 1e-9:
-                best, limits[l] = f1, limit
-    return np.clip(limits, -1.0, 0.5)
+        own = labels[:, l] > 0
+        if not own.any():
+            continue
+        tried = np.unique(np.quantile(given[:, l], np.linspace(0, 1, 401)))
+        hit = np.array([(given[own, l] >= x).sum() for x in tried])
+        false = np.array([10 * (given[sound, l] >= x).sum() + (given[~own & ~sound, l] >= x).sum() for x in tried])
+        f1 = 2 * hit / np.maximum(1, hit + false + own.sum())
+        best = tried[f1 >= f1.max() - 1e-9]
+        limits[l] = (best.min() + best.max()) / 2
+    return limits
 
 
 def fit(pairs: list[tuple[str, str, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the hashed and dense features and thresholds, from pairs most of which are sound."""
     if not pairs:
-        return np.zeros((1 << BITS, len(LABELS))), np.zeros((DENSE, len(LABELS))), np.zeros(len(LABELS))
+        return np.zeros((1 << BITS, len(LABELS))), np.zeros((DENSE, len(LABELS))), np.full(len(LABELS), np.inf)
     rows, labels = synthetic(pairs[: len(pairs) // 3 + 1])
     # by pair features alone: n-grams would learn the defects among the supposedly sound pairs by heart
     first = train(rows, labels, epochs=3, bare=1.0)
-    suspicion = _scores([features(*p) for p in pairs], *first).max(axis=1)
-    sound = [p for p, s in zip(pairs, suspicion, strict=True) if s < 0.0] or pairs
-    rows, labels = synthetic(sound, seed=11)
-    cut = len(rows) * 4 // 5
-    hashed, dense = train(rows[:cut], labels[:cut])
-    held = slice(cut, None) if len(rows) - cut > 50 else slice(None)
-    return hashed, dense, calibrate(_scores(rows[held], hashed, dense), labels[held])
+    t, s, st, ss = map(list, zip(*pairs, strict=True))
+    known = [pieces(a) | pieces(b) for a, b in zip(st, ss, strict=True)]
+    given = features(t, s, np.array([contained(x, k) for x, k in zip(t, known, strict=True)]), np.array([contained(x, k) for x, k in zip(s, known, strict=True)]))
+    suspicion = scores(given, *first).max(axis=1)
+    sound = [p for p, x in zip(pairs, suspicion, strict=True) if x < 0.0] or pairs
+    cut = len(sound) * 4 // 5 if len(sound) >= 10 else len(sound)
+    hashed, dense = train(*synthetic(sound[:cut], seed=11))
+    rows, labels = synthetic(sound[cut:] or sound, seed=13, held=True)
+    return hashed, dense, calibrate(scores(rows, hashed, dense), labels)
 
 
 def sources(stories: DataFrame) -> DataFrame:
@@ -298,44 +374,55 @@ def sources(stories: DataFrame) -> DataFrame:
     ).select("story_id", F.col("t.text").alias("source_title"), F.col("s.text").alias("source_summary"))
 
 
+def _hashed_pieces(text: Column) -> Column:
+    """The hashes of :func:`pieces` as an expression."""
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^a-zà-ÿ0-9]+", " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(words) - PIECE + 1))
+    return F.when(words != "", F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.substring(words, k, F.lit(PIECE))))))
+
+
+def overlaps(pairs: DataFrame, stories: DataFrame) -> DataFrame:
+    """(row_id, in_title, in_summary): how much of title_zh and summary_zh, where mostly in letters, is contained in the titles and
+    summaries of all records of the story. Pieces are joined by story and hash, so no story's records meet in one task."""
+    lettered = lambda c: F.length(F.regexp_replace(c, r"[^A-Za-z]", "")) * 2 > F.length(F.regexp_replace(c, r"[\x{4e00}-\x{9fff}]", "")) * F.lit(0.6)
+    label = _LABEL.pattern
+    asked = pairs.where(F.col("story_id").isNotNull()).select("row_id", "story_id", *[F.when(lettered(F.col(c)), F.regexp_replace(F.col(c), "(?i)" + label, "")).alias(c) for c in ("title_zh", "summary_zh")])
+    asked = asked.where(F.col("title_zh").isNotNull() | F.col("summary_zh").isNotNull())
+    own = asked.select("row_id", "story_id", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("title_zh").alias("text")), F.struct(F.lit(1).alias("which"), F.col("summary_zh").alias("text")))).alias("p"))
+    own = own.select("row_id", "story_id", F.col("p.which").alias("which"), F.explode(_hashed_pieces(F.col("p.text"))).alias("piece"))
+    texts = stories.select("story_id", F.explode(F.array("title", "summary")).alias("text")).where(F.col("text").isNotNull()).join(asked.select("story_id").distinct(), "story_id", "left_semi").distinct()
+    held = texts.select("story_id", F.explode(_hashed_pieces(F.col("text"))).alias("piece")).distinct().withColumn("hit", F.lit(1))
+    met = own.join(held, ["story_id", "piece"], "left").groupBy("row_id").agg(
+        *[F.coalesce(F.sum(F.when(F.col("which") == k, F.coalesce("hit", F.lit(0)))) / F.count_if(F.col("which") == k), F.lit(0.0)).alias(name) for k, name in ((0, "in_title"), (1, "in_summary"))]
+    )
+    return met
+
+
+_RESULT = pa.schema([("row_id", pa.int64()), ("defect", pa.string())])
+
+
 def defects(translations: DataFrame, stories: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(row_id, defect) of each defective pair."""
-    pairs = translations.select("row_id", "story_id", "title_zh", "summary_zh").join(sources(stories), "story_id", "left")
-    pairs = pairs.select("row_id", "title_zh", "summary_zh", "source_title", "source_summary")
+    pairs = translations.select("row_id", "story_id", "title_zh", "summary_zh")
     # the smallest hashes are a sample that doesn't depend on order or partitions
-    drawn = pairs.where(F.length(F.trim("title_zh")).between(4, 400) & F.length(F.trim("summary_zh")).between(16, 8000)).orderBy(F.xxhash64("row_id")).limit(sample).collect()
+    fair = pairs.where(F.length(F.trim("title_zh")).between(4, 400) & F.length(F.trim("summary_zh")).between(16, 8000))
+    drawn = fair.orderBy(F.xxhash64("row_id")).limit(sample)
+    drawn = drawn.join(sources(stories.join(drawn.select("story_id"), "story_id", "left_semi")), "story_id", "left").orderBy(F.xxhash64("row_id")).collect()
     base = [(r.title_zh, r.summary_zh, r.source_title or "", r.source_summary or "") for r in drawn if not empty(r.title_zh) and not empty(r.summary_zh)]
     model = pairs.sparkSession.sparkContext.broadcast(fit(base))
+    met = pairs.join(overlaps(pairs, stories), "row_id", "left").select("row_id", "title_zh", "summary_zh", F.coalesce("in_title", F.lit(0.0)).alias("in_title"), F.coalesce("in_summary", F.lit(0.0)).alias("in_summary"))
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, dense, limits = model.value
-        for frame in frames:
-            ids, found = [], []
-            for row in frame.itertuples(index=False):
-                if empty(row.title_zh) or empty(row.summary_zh):
-                    ids.append(row.row_id)
-                    found.append("empty")
-                    continue
-                given = features(row.title_zh, row.summary_zh, row.source_title or "", row.source_summary or "")
-                over = _scores([given], hashed, dense)[0] - limits
-                for l, label in enumerate(LABELS):
-                    if over[l] >= 0 and _confirmed(label, row.title_zh, row.summary_zh, given[1]):
-                        ids.append(row.row_id)
-                        found.append(label)
-                        break
-            yield pd.DataFrame({"row_id": ids, "defect": found})
-
-    return pairs.mapInPandas(judge, "row_id bigint, defect string")
-
-
-def _confirmed(label: str, title: str, summary: str, dense: np.ndarray) -> bool:
-    """The exact check after the model: what the defect can't do without."""
-    if label == "copy":
-        return max(dense[11], dense[12]) > 0.5
-    if label == "wrong_language":
-        return max(dense[15], dense[16]) > 0.4
-    if label == "refusal":
-        return bool(dense[20])
-    # a text with a proper end, source address or tags behind it was not cut, unless it says so
-    bare, marked = stripped(summary)
-    return marked or bare != summary.rstrip() or bool(dense[25]) or not _PROPER_END.search(bare)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                ids, title, summary = (batch.column(c).to_pylist() for c in ("row_id", "title_zh", "summary_zh"))
+                none = np.array([empty(a) or empty(b) for a, b in zip(title, summary, strict=True)], dtype=bool)
+                rows = features([t or "" for t in title], [s or "" for s in summary], batch.column("in_title").to_numpy(), batch.column("in_summary").to_numpy())
+                over = scores(rows, hashed, dense) >= limits
+                first = np.where(none, 0, np.where(over.any(axis=1), over.argmax(axis=1) + 1, -1))
+                hit = np.flatnonzero(first >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], type=pa.int64()), pa.array([("empty", *LABELS)[first[k]] for k in hit], type=pa.string())], schema=_RESULT)
+
+    return met.mapInArrow(judge, "row_id bigint, defect string")
