@@ -101,12 +101,15 @@ def test_defects_frame(spark):
 
 
 def test_tokens_of_items_and_stories():
-    assert em.address("HTTPS://WWW.axv.example/pdf/2402.00382v2.pdf?ref=digest")[1] == ["arxiv:2402.00382"]
-    assert em.address("https://code.example/loomkit/Mito/releases/tag/v0.10.1/")[1] == ["github:loomkit/mito:0.10.1"]
-    assert em.address("https://a.example/2025/04/gora-3-9-4-0e4d")[1:] == (["hash4:0e4d"], "gora 3.9.4")
+    assert em.address_parts("HTTPS://WWW.axv.example/pdf/2402.00382v2.pdf?ref=digest") == (["#2402.00382"], "")
+    assert em.address_parts("https://code.example/loomkit/Mito/releases/tag/v0.10.1/") == (["#loomkit/mito:0.10.1"], "mito 0.10.1")
+    assert em.address_parts("https://hub.example/lumenry/Nuho-3B?utm_medium=feed") == (["#lumenry/nuho-3b"], "nuho-3b")
+    assert em.address_parts("https://a.example/2025/04/gora-3-9-4-0e4d") == ([], "gora 3.9.4")
+    assert em.story_parts("github:loomkit/mito:v0.10.1") == (["#loomkit/mito:0.10.1"], "mito 0.10.1")
+    assert em.story_parts("hf:lumenry/nuho-3b") == (["#lumenry/nuho-3b"], "nuho-3b") and em.story_parts("fallback:0e4d12") == ([], "")
     assert em.words(em.plain(r"$\textsc{$\textsc{Kega}$}$-Next: Ａ Lésson v1.2.3")) == ["kega", "next", "lesson", "1.2.3"]
     assert em.variants(em.words(em.plain("Natubek-2 Benchmark")), "natubek") == {"~2"} != em.variants(["natubek"], "natubek")
-    assert em._similar("sofenukyar", "sofenukar") > 0.85 and em._similar("abc", "xyz") == 0
+    assert em.similar("sofenukyar", "sofenukar") > 0.85 and em.similar("abc", "xyz") == 0
 
 
 NAMES = ["zovimithia", "bekazintus", "fisuhudrex", "vuponuskex", "kahurothum", "desudaskum", "mezorembia", "butubombel"]
@@ -126,12 +129,3 @@ def test_matching(spark):
     zero = lambda k: f"fallback:{k:04x}{'0' * 12}"
     assert got == [(1, zero(0)), (2, "arxiv:2401.00001"), (3, zero(1)), (8, "arxiv:2401.00001"), (10, zero(1))]
     assert em.found(i.limit(0), s).count() == 0 and em.found(i, s.limit(0)).count() == 0
-
-
-def test_walks_bring_tokens_of_one_record_together():
-    rng = np.random.default_rng(1)
-    records = [["alphaone", "arxiv:1"], ["betatwo", "arxiv:2"]] * 200
-    vocabulary, walked = em.walk_pairs(records, rng)
-    assert {tuple(sorted((vocabulary[a], vocabulary[b]))) for a, b in walked} == {("alphaone", "arxiv:1"), ("arxiv:2", "betatwo")}
-    table = em.skip_gram(em.initial(), vocabulary, walked, rng)
-    assert np.isfinite(table).all() and np.abs(table - em.initial()).max() > 0

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.session import cut_lineage
+from tidewright.session import cut_lineage, written
 
 LARGEST = 1.7976931348623157e308
 #: Midpoints counted together for each contributor in a round.
@@ -24,10 +24,10 @@ MIDPOINTS = 4096
 SMALL_STATE = 100_000
 
 
-def _rows(df: DataFrame, contributor: Column, score: Column, identifier: Column) -> DataFrame:
+def _narrow(df: DataFrame, contributor: Column, score: Column, identifier: Column) -> DataFrame:
     finite = F.greatest(F.least(score.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST))
     value = F.when(score.isNull() | F.isnan(score.cast("double")), None).otherwise(finite)
-    return df.select(contributor.alias("k"), value.alias("v"), identifier.cast("bigint").alias("i")).where(F.col("k").isNotNull())
+    return df.select(contributor.alias("k"), value.alias("v"), identifier.cast("bigint").alias("i"))
 
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -102,10 +102,10 @@ def cutoffs(rows: DataFrame, cap: int, midpoints: int = MIDPOINTS) -> DataFrame:
     return cut_lineage(result)
 
 
-def over_cap(df: DataFrame, contributor: Column, score: Column, identifier: Column, cap: int, midpoints: int = MIDPOINTS) -> DataFrame:
-    """(k, i): the rows that go when every contributor keeps its ``cap`` best rows."""
-    rows = _rows(df, contributor, score, identifier)
-    cuts = cutoffs(rows, cap, midpoints)
+def _marked(rows: DataFrame, cap: int, midpoints: int) -> DataFrame:
+    """``rows`` (k, v, i) with gone: whether a row is beyond its contributor's cutoff. No row meets another again."""
+    cuts = cutoffs(rows.where(F.col("k").isNotNull()), cap, midpoints).withColumn("capped", F.lit(True))
+    cuts = F.broadcast(cuts) if cuts.count() <= SMALL_STATE else cuts
     below = F.when(
         F.col("last").isNull(), True
     ).when(
@@ -113,19 +113,21 @@ def over_cap(df: DataFrame, contributor: Column, score: Column, identifier: Colu
     ).otherwise(
         F.col("cut").isNotNull() & ((F.col("v") < F.col("cut")) | ((F.col("v") == F.col("cut")) & (F.col("i") > F.col("last"))))
     )
-    return _with_state(rows, cuts).where(below).select("k", "i")
+    return rows.join(cuts, "k", "left").withColumn("gone", F.coalesce(F.col("capped") & below, F.lit(False))).drop("cut", "last", "capped")
 
 
-def over_two_caps(items: DataFrame, contributor: Column, group_of: DataFrame, score: Column, identifier: Column, cap: int, group_cap: int) -> DataFrame:
+def over_cap(df: DataFrame, contributor: Column, score: Column, identifier: Column, cap: int, midpoints: int = MIDPOINTS) -> DataFrame:
+    """(k, i): the rows that go when every contributor keeps its ``cap`` best rows."""
+    return _marked(written(_narrow(df, contributor, score, identifier)), cap, midpoints).where("gone").select("k", "i")
+
+
+def over_two_caps(items: DataFrame, contributor: Column, group_of: DataFrame, score: Column, identifier: Column, cap: int, group_cap: int, midpoints: int = MIDPOINTS) -> DataFrame:
     """(row_id, cap): rows above the contributor's cap ('source'), then, of the rows left, above the group's ('category').
 
-    ``group_of`` maps a contributor (``k``) to its group (``g``) and is one small row per contributor.
+    ``group_of`` maps a contributor (``k``) to its group (``g``) and is one small row per contributor. The rounds read
+    three narrow columns, written once for each cap.
     """
-    rows = items.select(contributor.alias("k"), score.alias("v"), identifier.alias("i"))
-    over_source = over_cap(rows, F.col("k"), F.col("v"), F.col("i"), cap)
-    gone = cut_lineage(over_source.select("i"))
-    left = rows.join(gone, "i", "left_anti").join(group_of, "k", "left")
-    over_group = over_cap(left, F.col("g"), F.col("v"), F.col("i"), group_cap)
-    return gone.select(F.col("i").alias("row_id"), F.lit("source").alias("cap")).unionByName(
-        over_group.select(F.col("i").alias("row_id"), F.lit("category").alias("cap"))
-    )
+    first = _marked(written(_narrow(items, contributor, score, identifier)), cap, midpoints)
+    both = written(first.join(group_of, "k", "left").select(F.when(~F.col("gone"), F.col("g")).alias("k"), "v", "i", F.col("gone").alias("over")))
+    fallen = F.when(F.col("over"), "source").when(F.col("gone"), "category")
+    return _marked(both, group_cap, midpoints).select(F.col("i").alias("row_id"), fallen.alias("cap")).where(F.col("cap").isNotNull())

@@ -26,8 +26,8 @@ from tidewright.llm import bpe
 from tidewright.session import cut_lineage
 
 CAPACITY = 2048
-#: Parts a size is split into while its texts are numbered.
-BUCKETS = 256
+#: Texts of one size that are numbered together, about.
+TOGETHER = 20_000
 
 
 def closest_filling(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -84,10 +84,12 @@ def pieces(measured: DataFrame, identifier: str, capacity: int) -> DataFrame:
     return cut.select(identifier, F.col("piece").cast("int").alias("piece"), (F.col("piece") * c).alias("start"), F.least(n - F.col("piece") * c, c).alias("size"))
 
 
-def numbered(parts: DataFrame, identifier: str) -> DataFrame:
-    """Adds number: the place of a row among the rows of its size, from 0, in an order that only depends on the rows."""
-    spread = parts.withColumn("bucket", F.pmod(F.xxhash64(identifier, "piece"), F.lit(BUCKETS)).cast("int"))
-    counts = spread.groupBy("size", "bucket").agg(F.count("*").alias("held"))  # at most BUCKETS rows per size
+def numbered(parts: DataFrame, identifier: str, histogram: dict[int, int], together: int = TOGETHER) -> DataFrame:
+    """Adds number: the place of a row among the rows of its size, from 0, in an order that only depends on the rows. A size
+    is numbered in as many parts as its count (``histogram``, a row per size) asks for."""
+    sizes = parts.sparkSession.createDataFrame([(s, -(-n // together)) for s, n in histogram.items()], "size bigint, parts bigint")
+    spread = parts.join(F.broadcast(sizes), "size").withColumn("bucket", F.pmod(F.xxhash64(identifier, "piece"), F.col("parts"))).drop("parts")
+    counts = spread.groupBy("size", "bucket").agg(F.count("*").alias("held"))  # a row per `together` texts
     before = F.sum("held").over(Window.partitionBy("size").orderBy("bucket")) - F.col("held")
     within = F.row_number().over(Window.partitionBy("size", "bucket").orderBy(identifier, "piece")) - 1
     return spread.withColumn("within", within).join(counts.withColumn("before", before), ["size", "bucket"]).withColumn("number", F.col("before") + F.col("within"))
@@ -111,7 +113,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, identifier: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(container)], names=[identifier, "piece", "start", "size", "container"])
 
     schema = f"`{identifier}` {kind}, piece int, start bigint, size bigint, container bigint"
-    full = numbered(parts.where("size > 0"), identifier).select(identifier, "piece", "start", "size", "number").mapInArrow(place, schema)
+    full = numbered(parts.where("size > 0"), identifier, histogram).select(identifier, "piece", "start", "size", "number").mapInArrow(place, schema)
     return full.unionByName(parts.where("size = 0").withColumn("container", F.lit(None).cast("bigint")))
 
 

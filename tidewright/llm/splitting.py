@@ -1,20 +1,23 @@
 """Cutting texts above a size into pieces at natural boundaries, by packing a structure tree.
 
-A text is read as a tree: headings by depth, then blocks between blank lines, then lines and list items, then
-sentences, then clauses, then words, then single tokens. A node that fits is a leaf. An oversized node is
+A text is read as a tree: headings by depth, then blocks between blank lines, then lines and list items by how far they are
+indented (of HTML lists by how deep they are nested), so that an item holds what is indented below it, then sentences, then
+clauses, then words, then single tokens. A node that fits is a leaf. An oversized node is
 descended into; the pieces of its children are merged with their siblings, left to right, as long as the sum
 fits. So a cut falls at the highest boundary that can hold, and words are cut only where a single word exceeds
 the size. Code fences hold their lines together: headings and blank lines inside don't count.
 
-Sizes are tokens of the whole text's own encoding; a piece is a run of them. Each piece but the first repeats,
+Sizes are tokens of the whole text's own encoding; a piece is a run of them, and may have a few tokens more or less when it
+is encoded by itself. Each piece but the first repeats,
 in front, as many whole words as fit into ``overlap`` tokens (tokens, where a word is longer); overlap and rest
-together stay within ``limit``. Texts within the limit are one piece; null and empty texts are one piece of
-size 0 with a null or empty text. Concatenating the pieces without their overlaps gives the text back.
+together stay within ``limit``, and the first piece, without overlap, may fill it. Texts within the limit are one piece; null and
+empty texts are one piece of size 0 with a null or empty text. Concatenating the pieces without their overlaps gives the text back.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +31,15 @@ OVERLAP = 48
 
 _FENCE = re.compile(rb"^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.M | re.S)
 _HEADING = re.compile(rb"^[ \t]{0,3}(#{1,6})[ \t]|^[ \t]{0,3}<h([1-6])\b|^(?=[^\n]+\n(?:={3,}|-{3,})[ \t]*$)", re.M | re.I)
-_BLOCK = re.compile(rb"\n[ \t\r]*\n[ \t\r\n]*|<(?:p|div|ul|ol|table|section|article)\b[^>]*>", re.I)
-_LINE = re.compile(rb"\r\n?|\n|\xe2\x80\xa8|\xe2\x80\xa9|\x0b|\x0c|\xc2\x85|<br\s*/?>|(?=<li\b)", re.I)
+_BLOCK = re.compile(rb"\n[ \t\r]*\n[ \t\r\n]*|<(?:p|div|table|section|article)\b[^>]*>", re.I)
+_LINE = re.compile(rb"\r\n?|\n|\xe2\x80\xa8|\xe2\x80\xa9|\x0b|\x0c|\xc2\x85|<br\s*/?>", re.I)
 _SENTENCE = re.compile(rb"(?:[.!?][\"')\]]*(?=\s)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)(?:\xe3\x80\x8d|\xe3\x80\x8f|\xef\xbc\x89|\xe2\x80\x9d)*")
 _CLAUSE = re.compile(rb"[,;:](?=\s)|\xef\xbc\x8c|\xe3\x80\x81|\xef\xbc\x9b|\xef\xbc\x9a| \xe2\x80\x93 | \xe2\x80\x94 ")
-#: Depths of the tree, from whole sections to single tokens.
-BLOCK, LINE, SENTENCE, CLAUSE, WORD, TOKEN = 7, 8, 9, 10, 11, 12
+_LIST = re.compile(rb"<(/?)(ul|ol|li)\b[^>]*>", re.I)
+_INDENT = re.compile(rb"[ \t]*")
+#: Depths of the tree, from whole sections (1 to 6) to single tokens. Lines have a depth for each level of indentation.
+BLOCK, LINE, SENTENCE, CLAUSE, WORD, TOKEN = 7, 8, 28, 29, 30, 31
+LEVELS = 19
 
 
 def boundaries(text: bytes) -> dict[int, int]:
@@ -41,45 +47,67 @@ def boundaries(text: bytes) -> dict[int, int]:
     found: dict[int, int] = {}
     fences = [(m.start(), m.end()) for m in _FENCE.finditer(text)] if b"```" in text or b"~~~" in text else []
 
+    fence_starts = [f[0] for f in fences]
+
     def fenced(at: int) -> bool:
-        return any(a < at < b for a, b in fences)
+        k = bisect_left(fence_starts, at) - 1
+        return k >= 0 and at < fences[k][1]
 
     def note(at: int, depth: int) -> None:
         if 0 < at < len(text) and found.get(at, TOKEN) > depth:
             found[at] = depth
 
+    def level(at: int) -> int:
+        """How far the line that begins at ``at`` is indented, two blanks a level."""
+        return min(LEVELS, len(_INDENT.match(text, at)[0].replace(b"\t", b"    ")) // 2)
+
     for m in _HEADING.finditer(text):
         if not fenced(m.start()):
             note(m.start(), len(m[1]) if m[1] else int(m[2]) if m[2] else 1)
     for m in _BLOCK.finditer(text):
         if not fenced(m.start()):
-            note(m.end() if m[0][:1] == b"\n" else m.start(), BLOCK)
+            if m[0][:1] != b"\n":
+                note(m.start(), BLOCK)
+            else:  # what is indented below a blank line still belongs to what stands above it
+                begin = text.rfind(b"\n", 0, m.end()) + 1
+                note(m.end(), BLOCK if level(begin) == 0 else LINE + level(begin))
     for a, b in fences:
         note(a, BLOCK)
         note(b, BLOCK)
-    for pattern, depth in ((_LINE, LINE), (_SENTENCE, SENTENCE), (_CLAUSE, CLAUSE)):
+    nested = 0
+    for m in _LIST.finditer(text):
+        if m[2].lower() != b"li":
+            nested = max(0, nested + (-1 if m[1] else 1))
+        elif not m[1]:
+            note(m.start(), LINE + min(LEVELS, nested))
+    for m in _LINE.finditer(text):
+        note(m.end(), LINE + level(m.end()))
+    for pattern, depth in ((_SENTENCE, SENTENCE), (_CLAUSE, CLAUSE)):
         for m in pattern.finditer(text):
             note(m.end(), depth)
     return found
 
 
-def spans(places: np.ndarray, depths: np.ndarray, sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Runs [from, to) of atoms. ``sizes``: tokens up to each atom, and of all; ``depths``: of each atom's start."""
+def spans(places: np.ndarray, depths: np.ndarray, sizes: np.ndarray, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """Runs [from, to) of atoms, of at most ``limit`` tokens less the ``overlap`` that all but the first repeat. ``sizes``: tokens up to each atom, and of all; ``depths``: of each atom's start."""
     found: list[tuple[int, int]] = []
 
     def weight(a: int, b: int) -> int:
         return int(sizes[b] - sizes[a])
 
+    def fits(a: int, b: int) -> bool:
+        return weight(a, b) <= (limit - overlap if a else limit)
+
     def descend(a: int, b: int) -> list[tuple[int, int]]:
-        if weight(a, b) <= limit or b - a == 1:
+        if fits(a, b) or b - a == 1:
             return [(a, b)]
         inner = depths[a + 1 : b]
         top = inner.min()
         cuts = [a, *(np.flatnonzero(inner == top) + a + 1).tolist(), b]
         merged: list[tuple[int, int]] = []
         for x, y in zip(cuts, cuts[1:], strict=False):
-            for piece in [(x, y)] if weight(x, y) <= limit else descend(x, y):
-                if merged and weight(merged[-1][0], piece[1]) <= limit:
+            for piece in [(x, y)] if fits(x, y) else descend(x, y):
+                if merged and fits(merged[-1][0], piece[1]):
                     merged[-1] = (merged[-1][0], piece[1])
                 else:
                     merged.append(piece)
@@ -118,7 +146,7 @@ def split_text(data: bytes, padded: np.ndarray, starts: np.ndarray, counts: np.n
     np.minimum.at(depths, at[inside], depth[inside])
     sizes = np.concatenate([[0], np.cumsum(tokens)])
     result = []
-    for a, b in spans(places, depths, sizes, limit - overlap):
+    for a, b in spans(places, depths, sizes, limit, overlap):
         first = a
         if a > 0:  # as many whole atoms as fit
             room = min(overlap, limit - int(sizes[b] - sizes[a]))
