@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -77,31 +78,16 @@ def unfenced(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def balanced_json(texts: pd.Series) -> pd.Series:
-    """The first balanced object or array in a text, minding strings; null where there is none. No built-in
-    expression can count nesting, so this is one of the few Python functions."""
+    """The first whole JSON object or array in a text as written; null where there is none. The decoder is tried
+    at each opening bracket, so brackets of two kinds never balance each other."""
+    decoder = json.JSONDecoder()
 
     def first(text: str | None) -> str | None:
-        if text is None:
-            return None
-        start = re.search(r"[\[{]", text)
-        if not start:
-            return None
-        depth, inside, skip = 0, False, False
-        for k in range(start.start(), len(text)):
-            sign = text[k]
-            if skip:
-                skip = False
-            elif inside:
-                skip = sign == "\\"
-                inside = sign != '"'
-            elif sign == '"':
-                inside = True
-            elif sign in "[{":
-                depth += 1
-            elif sign in "]}":
-                depth -= 1
-                if depth == 0:
-                    return text[start.start() : k + 1]
+        for opening in re.finditer(r"[\[{]", text or ""):
+            try:
+                return text[opening.start() : decoder.raw_decode(text, opening.start())[1]]
+            except (ValueError, RecursionError):
+                continue
         return None
 
     return texts.map(first)

@@ -36,13 +36,22 @@ def paper_page(url: Column, forms: Sequence[str] = PAPER_FORMS, page: str = PAPE
     return out
 
 
+def _form_encoded(text: Column) -> Column:
+    """As a form writes it: blanks as ``+``, all but letters, digits and ``_.-~`` in percents."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def keep_parameters(query: Column, strip: Sequence[str] = TRACKING) -> Column:
-    """A query string without tracking parameters (names compared without case), repeated names grouped in order
-    of first appearance, as a form would be read and written again; parts without ``=`` are left out unless blank values are given."""
-    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & p.contains("=") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin([s.lower() for s in strip]))
-    names = F.array_distinct(F.transform(parts, lambda p: F.split_part(p, F.lit("="), F.lit(1))))
-    grouped = F.flatten(F.transform(names, lambda n: F.filter(parts, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == n)))
-    return F.array_join(grouped, "&")
+    """A query string without tracking parameters (names compared without case), repeated names grouped in order of first
+    appearance, as a form would be read and written again: a part without ``=`` has an empty value, empty parts are
+    dropped, percents are decoded and written anew. Percents that decode to nothing stay as they are."""
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    split = lambda p: F.struct(decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), decoded(F.substring(p, F.length(F.split_part(p, F.lit("="), F.lit(1))) + F.lit(2), F.length(p))).alias("v"))
+    parts = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), split)
+    parts = F.filter(parts, lambda p: ~F.lower(p["k"]).isin([s.lower() for s in strip]))
+    names = F.array_distinct(F.transform(parts, lambda p: p["k"]))
+    grouped = F.flatten(F.transform(names, lambda n: F.filter(parts, lambda p: p["k"] == n)))
+    return F.array_join(F.transform(grouped, lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))), "&")
 
 
 def canonical(url: Column, strip: Sequence[str] = TRACKING, secure: Sequence[str] = SECURE_HOSTS, forms: Sequence[str] = PAPER_FORMS, page: str = PAPER_PAGE) -> Column:

@@ -82,12 +82,27 @@ def best_first(score: Column, when: Column, last: Column) -> Column:
     )
 
 
+def by_address(url: Column, last: Column) -> Column:
+    """The end of an order: by address, missing ones last, then by ``last``."""
+    return F.struct(url.isNull().alias("n"), url.alias("u"), last.alias("l"))
+
+
 def first_rows(rows: DataFrame, group: list[str], order: Column, n: int) -> DataFrame:
     """Adds place, keeps the first ``n`` rows per group. The bare filter on the place lets every task drop what can't
     be among the first before the shuffle, so a large group never meets in one task."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("place") <= n)
 
 
+def limited(rows: DataFrame, limits: DataFrame, group: str, most: str, order: Column) -> DataFrame:
+    """The first rows of each group up to the group's own limit (``limits``: one row per group), with their place; a limit of 0 or
+    less keeps all rows of its group, whose places are null. The greatest limit, one number, lets every task drop what can't be
+    among the first before the shuffle."""
+    greatest = limits.agg(F.max(most)).first()[0] or 0
+    known = rows.join(limits, group)
+    some = first_rows(known.where(F.col(most) > 0), [group], order, greatest).where(F.col("place") <= F.col(most))
+    return some.unionByName(known.where(F.col(most) <= 0).withColumn("place", F.lit(None).cast("int"))).drop(most)
+
+
 def capped(rows: DataFrame, group: list[str], order: Column, cap: int, bypass: Column | None = None) -> DataFrame:
     """Adds kept: whether a row is among the first ``cap`` of its group, or passes by right (such rows use up places as
     well). Rows without a group are kept. Only the cutoff of each group is found by ranking; all rows are then compared

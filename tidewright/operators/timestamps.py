@@ -8,10 +8,11 @@ A value goes through four steps, all of them JVM expressions:
 4. the local clock becomes an instant; local times that a zone has twice or never give null.
 
 Estimation (``estimate_zones``) aligns the zoneless local times of a source with the times at which its rows
-were received: under each candidate zone, with its whole history of offsets, a row violates the order if it
-would be published after it was received. The zone with the lowest rate of violations (in percents) wins, then the one with the
-smallest total lag, then the name. The same step settles, per source, whether ``a/b/year`` is day or month
-first, by its values in which one reading is impossible.
+were received: under each history of offsets that any zone has, a row violates the order if it would be published after it
+was received. Values that name their zone show how often that happens and how long receipt takes; the
+history under which the source's values fit that best wins, then the one with fewer violations, then the name. The
+configured zone of a source leaves it one history, which then needs no evidence. A like step settles, per source,
+whether ``a/b/year`` is day or month first, by its values in which one reading is impossible.
 
 Defined results: null, blank, vague and relative texts give null, as does a bare number that no unit puts
 between ``FIRST`` and ``LAST``; fractions are cut to microseconds; a written weekday is not checked; a value
@@ -21,7 +22,10 @@ repeated rows repeat it; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zoneinfo
+from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +33,11 @@ from pyspark.sql import functions as F
 from tidewright.functions.text import canonical_name, squeeze
 from tidewright.session import cut_lineage
 
-DAY_US = 86_400_000_000
+DAY_US, QUARTER_US = 86_400_000_000, 900_000_000
+#: Lags that are told apart, in quarters of an hour, and the first year of the histories of offsets.
+EARLIEST, LATEST, SINCE = -96, 192, 2005
+# Zones whose names are preferred among those with the same clock.
+COMMON = ("UTC", "America/Los_Angeles", "America/Denver", "America/Chicago", "America/New_York", "America/Sao_Paulo", "Europe/London", "Europe/Paris", "Europe/Athens", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney")
 #: Plausible years of a bare number: 1990-01-01 to 2050-01-01 in seconds.
 FIRST, LAST = 631_152_000, 2_524_608_000
 
@@ -177,19 +185,53 @@ def known_zones(config: DataFrame, source: str, zone: str) -> DataFrame:
     return zones.join(F.broadcast(existing), "tz", "left_semi").groupBy("source").agg(F.min("tz").alias("tz"))
 
 
-def estimate_zones(resolved: DataFrame, candidates: list[str]) -> DataFrame:
-    """(source, tz, violations, seen): per source the candidate zone under which its zoneless local times fit the
-    times of receipt best. ``resolved`` needs source, local (us) and received. One aggregation; a row is compared
-    with each of the candidates, a list that doesn't grow with the data. Rows received a day before or two days
-    after their local time say nothing about the zone and are left out."""
+@lru_cache(maxsize=1)
+def histories() -> tuple[str, ...]:
+    """One zone for each history of offsets since ``SINCE`` (as clocks stand twice a month), the best known name of each."""
+    days = [datetime(year, month, day, 12) for year in range(SINCE, 2041) for month in range(1, 13) for day in (1, 15)]
+    found: dict[tuple, str] = {}
+    for name in sorted(zoneinfo.available_timezones() | {"UTC"}, key=lambda n: (n not in COMMON, n.startswith("Etc/"), n)):
+        zone = zoneinfo.ZoneInfo(name)
+        found.setdefault(tuple(zone.utcoffset(d) for d in days), name)
+    return tuple(sorted(found.values()))
+
+
+def _quarters(us: Column) -> Column:
+    return F.floor(us / F.lit(QUARTER_US)).cast("int")
+
+
+def lag_profile(known: DataFrame) -> list[float]:
+    """Log-probability of each quarter of an hour between a value's instant and its receipt, from a day before (a violation
+    of the order) to two days after, by the values that name their zone (``known``: us, received). Without such values
+    violations are improbable and longer lags a little less probable than shorter ones."""
+    lag = _quarters(F.unix_micros("received") - F.col("us"))
+    seen = {r.q: r.n for r in known.select(lag.alias("q")).where(F.col("q").between(EARLIEST, LATEST - 1)).groupBy("q").agg(F.count("*").alias("n")).collect()}  # as many rows as quarters
+    if sum(seen.values()) < 100:
+        return [-8.0 if q < 0 else -q / 400 for q in range(EARLIEST, LATEST)]
+    counts = [seen.get(q, 0) + 0.5 for q in range(EARLIEST, LATEST)]
+    return [math.log(c / sum(counts)) for c in counts]
+
+
+def estimate_zones(resolved: DataFrame, candidates: tuple[str, ...] | list[str], profile: list[float]) -> DataFrame:
+    """(source, tz, violations, seen): per source the history of offsets under which its zoneless local times fit the
+    times of receipt best, a violation of the order (published after receipt) and every lag counting by how often they
+    occur (:func:`lag_profile`). ``resolved`` needs source, local (us) and received. Rows are first counted by source,
+    local day and quarter of an hour, so what is compared with each candidate grows with days, not with rows; the offset of a
+    day is that at its noon. Rows received more than a day before or two after their local time say nothing and are left out."""
     tried = resolved.where(F.col("local").isNotNull() & F.col("received").isNotNull() & F.col("source").isNotNull()).select("source", "local", F.unix_micros("received").alias("received"))
     tried = tried.where((F.col("received") - F.col("local")).between(-DAY_US, 2 * DAY_US))
-    tried = tried.select("*", F.explode(F.array(*[F.lit(z) for z in candidates])).alias("tz"))
-    utc = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local"), F.col("tz")))
-    lag = F.col("received") - utc
-    per_zone = tried.groupBy("source", "tz").agg(F.count_if(lag < 0).alias("violations"), F.sum(F.abs(lag).cast("double")).alias("lag"), F.count("*").alias("seen"))
-    rate = F.round(F.col("violations") / F.col("seen"), 2)  # to whole percents: single rows received early for other reasons don't decide
-    return per_zone.groupBy("source").agg(F.min(F.struct(rate.alias("rate"), "lag", "tz", "violations", "seen")).alias("best")).select("source", "best.tz", "best.violations", "best.seen")
+    counted = tried.groupBy("source", F.floor(F.col("local") / F.lit(DAY_US)).alias("day"), _quarters(F.col("received") - F.col("local")).alias("q")).agg(F.count("*").alias("n"))
+    noon = F.col("day") * F.lit(DAY_US) + F.lit(DAY_US // 2)
+    offset = lambda z: _quarters(noon - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(noon), z)))
+    days = counted.select("day").distinct().select("day", F.explode(F.array(*[F.lit(z) for z in candidates])).alias("tz"))
+    days = days.select("day", "tz", offset(F.col("tz")).alias("o")).groupBy("day", "o").agg(F.collect_list("tz").alias("zones"))  # at most the candidates
+    known = F.array(*[F.lit(p) for p in profile])
+    lag = F.col("q") + F.col("o")
+    chance = F.when(lag.between(EARLIEST, LATEST - 1), F.get(known, lag - EARLIEST)).otherwise(min(profile))
+    by_offset = counted.join(days, "day").groupBy("source", "day", "o").agg(F.sum(chance * F.col("n")).alias("fit"), F.sum(F.when(lag < 0, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("seen"), F.first("zones").alias("zones"))
+    per_zone = by_offset.select("source", F.explode("zones").alias("tz"), "fit", "violations", "seen").groupBy("source", "tz").agg(F.round(F.sum("fit"), 6).alias("fit"), F.sum("violations").alias("violations"), F.sum("seen").alias("seen"))
+    order = F.struct((-F.col("fit")).alias("f"), "violations", (~F.col("tz").isin(*COMMON)).alias("rare"), "tz", "seen")
+    return per_zone.groupBy("source").agg(F.min(order).alias("best")).select("source", "best.tz", "best.violations", "best.seen")
 
 
 def zoneless(parsed: DataFrame, order: DataFrame) -> DataFrame:
@@ -205,11 +247,20 @@ def zoneless(parsed: DataFrame, order: DataFrame) -> DataFrame:
     return parsed.join(order, "source", "left").withColumn("local", local)
 
 
-def to_instants(parsed: DataFrame, zones: DataFrame, candidates: list[str], keep: list[str]) -> DataFrame:
+def instants_named(local: DataFrame) -> DataFrame:
+    """(us, received) of the values that name their offset or count from 1970 themselves."""
+    us = F.when(F.col("form") == "number", F.col("us")).when(F.col("offset").isNotNull(), F.col("local") - F.col("offset").cast("bigint") * 60_000_000)
+    return local.select(us.alias("us"), "received").where(F.col("us").isNotNull() & F.col("received").isNotNull())
+
+
+def to_instants(parsed: DataFrame, zones: DataFrame, keep: list[str], candidates: tuple[str, ...] | None = None) -> DataFrame:
     """Steps 3 and 4: keep + utc_us, one row for each value that denotes exactly one instant."""
     local = zoneless(parsed, slash_order(parsed))
     lacking = local.where(~F.col("zoned") & F.col("region").isNull() & (F.col("form") != "number"))
-    estimated = estimate_zones(lacking.join(zones, "source", "left_anti"), candidates).select("source", F.col("tz").alias("guess"))
+    lacking = lacking.join(zones, "source", "left_anti")
+    # most tables are configured whole: then there is nothing to learn from
+    profile = lag_profile(instants_named(local)) if lacking.where(F.col("received").isNotNull()).limit(1).count() else lag_profile(local.where("false").select("us", "received"))
+    estimated = estimate_zones(lacking, candidates or histories(), profile).select("source", F.col("tz").alias("guess"))
     existing = parsed.sparkSession.createDataFrame([(n,) for n in sorted(zoneinfo.available_timezones() | {"UTC"})], "region string")
     valued = local.join(F.broadcast(existing.withColumn("exists", F.lit(True))), "region", "left").join(zones, "source", "left").join(estimated, "source", "left")
     own = F.col("zoned") & F.col("region").isNull()
@@ -234,8 +285,4 @@ def normalised(items: DataFrame, notes: DataFrame, models: DataFrame, config: Da
     )
     parsed = cut_lineage(parse(values, "value", "source_id", "received", ["tbl", "row_id"]))  # read three times below
     zones = known_zones(config, "source_id", "timezone")
-    return to_instants(parsed, zones, CANDIDATES, ["tbl", "row_id"])
-
-
-# The zones tried for a source without one.
-CANDIDATES = ["UTC", "America/Los_Angeles", "America/Denver", "America/Chicago", "America/New_York", "America/Sao_Paulo", "Europe/London", "Europe/Berlin", "Europe/Athens", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney"]
+    return to_instants(parsed, zones, ["tbl", "row_id"])

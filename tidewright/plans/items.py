@@ -12,6 +12,8 @@ from tidewright.plans.catalogue import oracle, query
 from tidewright.plans.scalars import CANONICAL_CTE, canonical_item_url
 from tidewright.session import table
 
+#: Items a source gives where nothing is configured.
+DEFAULT_MAX = 100
 _SOURCE = r"nullif(regexp_replace(lower(trim(source_id)), '[_\s]+', '-', 'g'), '')"
 _OBS = f"{CANONICAL_CTE}, obs AS (SELECT canonical_url AS url, content_hash, first_seen_at, items.row_id, {_SOURCE} AS source, title, kind FROM items JOIN canon USING (row_id))"
 _EVENTS = f"""{_OBS}, ev AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 'NEW' WHEN content_hash IS NOT DISTINCT FROM lag(content_hash) OVER w THEN 'UNCHANGED' ELSE 'UPDATED' END AS event
@@ -115,13 +117,13 @@ UNION ALL SELECT 'releases', count(*), max(published_at) FROM releases UNION ALL
 
 @query
 def collector_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Each source's newest items up to its configured maximum (none: 100), newest first, then by address."""
-    rows = table(spark, folder, "items").select("row_id", canonical_name(F.col("source_id")).alias("source"), F.col("first_seen_at").alias("seen"), "url")
-    limits = table(spark, folder, "source_config").select(canonical_name(F.col("source_id")).alias("source"), F.coalesce("max_items", F.lit(100)).alias("most"))
-    order = ranking.best_first(F.lit(0.0), F.col("seen"), F.struct("url", "row_id"))
-    first = ranking.first_rows(rows.where(F.col("source").isNotNull()), ["source"], order, 100)
-    return first.join(F.broadcast(limits), "source").where(F.col("place") <= F.col("most")).select("row_id", "source", "place")
+    """Each source's newest items up to its configured maximum, newest first, then by address; a maximum of 0 or less
+    keeps all, without places."""
+    rows = table(spark, folder, "items").select("row_id", canonical_name(F.col("source_id")).alias("source"), F.col("first_seen_at").alias("seen"), "url").where(F.col("source").isNotNull())
+    limits = table(spark, folder, "source_config").groupBy(canonical_name(F.col("source_id")).alias("source")).agg(F.max(F.coalesce("max_items", F.lit(DEFAULT_MAX))).alias("most"))
+    order = ranking.best_first(F.lit(0.0), F.col("seen"), ranking.by_address(F.col("url"), F.col("row_id")))
+    return ranking.limited(rows, limits, "source", "most", order).select("row_id", "source", "place")
 
 
-oracle("collector_order", f"""WITH r AS (SELECT row_id, {_SOURCE} AS source, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY first_seen_at DESC NULLS LAST, url, row_id) AS place FROM items)
-SELECT row_id, r.source, place::INT AS place FROM r JOIN (SELECT {_SOURCE} AS source, coalesce(max_items, 100) AS most FROM source_config) c ON r.source = c.source WHERE place <= 100 AND place <= most""")
+oracle("collector_order", f"""WITH r AS (SELECT row_id, {_SOURCE} AS source, row_number() OVER (PARTITION BY {_SOURCE} ORDER BY first_seen_at DESC NULLS LAST, url NULLS LAST, row_id) AS place FROM items)
+SELECT row_id, r.source, CASE WHEN most > 0 THEN place::INT END AS place FROM r JOIN (SELECT {_SOURCE} AS source, max(coalesce(max_items, {DEFAULT_MAX})) AS most FROM source_config GROUP BY 1) c ON r.source = c.source WHERE most <= 0 OR place <= most""")

@@ -43,11 +43,11 @@ p AS (SELECT *, CASE primary_link.tier WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 ELSE 1.0
   least(3.0, len(list_distinct(list_filter(list_transform(links, lambda l: l.source_id), lambda s: s IN ({', '.join(q(c) for c in QUALITY)})))))::DOUBLE AS cross_score FROM b),
 scored AS (SELECT row_id, story_id, digest_date, title, published_at, arxiv_id, entities, hf_model_id, github_release_url, primary_link.url AS url, {_SOURCE.format('primary_link.source_id')} AS source,
   tier_score, kind_score, topic_score, recency_score, entity_score, cross_score, round(tier_score + kind_score + topic_score + recency_score + entity_score + cross_score, 6) AS score FROM p)"""
-_BEST = "score DESC NULLS LAST, published_at DESC NULLS LAST, row_id"
+_BEST = "score DESC NULLS LAST, published_at DESC NULLS LAST, url NULLS LAST, row_id"
 
 
 def _order() -> F.Column:
-    return ranking.best_first(F.col("score"), F.col("published_at"), F.col("row_id"))
+    return ranking.best_first(F.col("score"), F.col("published_at"), ranking.by_address(F.col("url"), F.col("row_id")))
 
 
 @query
@@ -70,27 +70,27 @@ oracle("top_stories", f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTIT
 @query
 def source_quota(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each item stays within twenty a source, best score first; very good ones (9.5 or more) always stay."""
-    rows = table(spark, folder, "items").select("row_id", canonical_name(F.col("source_id")).alias("source"), "score", F.col("first_seen_at").alias("seen"))
-    order = ranking.best_first(F.col("score"), F.col("seen"), F.col("row_id"))
+    rows = table(spark, folder, "items").select("row_id", canonical_name(F.col("source_id")).alias("source"), "score", F.col("first_seen_at").alias("seen"), "url")
+    order = ranking.best_first(F.col("score"), F.col("seen"), ranking.by_address(F.col("url"), F.col("row_id")))
     passes = F.coalesce(~F.isnan("score") & (F.col("score") >= 9.5), F.lit(False))
     return ranking.capped(rows, ["source"], order, 20, passes).select("row_id", "kept")
 
 
-oracle("source_quota", f"""WITH r AS (SELECT row_id, {_SOURCE.format('source_id')} AS source, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, first_seen_at FROM items)
-SELECT row_id, source IS NULL OR row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, first_seen_at DESC NULLS LAST, row_id) <= 20 OR coalesce(score >= 9.5, false) AS kept FROM r""")
+oracle("source_quota", f"""WITH r AS (SELECT row_id, {_SOURCE.format('source_id')} AS source, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, first_seen_at, url FROM items)
+SELECT row_id, source IS NULL OR row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, first_seen_at DESC NULLS LAST, url NULLS LAST, row_id) <= 20 OR coalesce(score >= 9.5, false) AS kept FROM r""")
 
 
 @query
 def category_quota(spark: SparkSession, folder: str) -> DataFrame:
     """Papers within thirty an archive category, by the category in their record; rows without one are exempt."""
     category = F.get(F.from_json(F.get_json_object(strict_json(F.col("raw_json")), "$.categories"), "array<string>"), F.lit(0))
-    rows = table(spark, folder, "items").select("row_id", category.alias("category"), "score", F.col("first_seen_at").alias("seen"))
-    rows = ranking.capped(rows, ["category"], ranking.best_first(F.col("score"), F.col("seen"), F.col("row_id")), 30)
+    rows = table(spark, folder, "items").select("row_id", category.alias("category"), "score", F.col("first_seen_at").alias("seen"), "url")
+    rows = ranking.capped(rows, ["category"], ranking.best_first(F.col("score"), F.col("seen"), ranking.by_address(F.col("url"), F.col("row_id"))), 30)
     return rows.where(F.col("category").isNotNull()).groupBy("category").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"), F.min(F.when(F.col("kept"), F.when(F.isnan("score"), None).otherwise(F.col("score")))).alias("lowest"))
 
 
-oracle("category_quota", f"""WITH r AS (SELECT row_id, json_extract_string({STRICT}, '$.categories[0]') AS category, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, first_seen_at FROM items),
-k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, first_seen_at DESC NULLS LAST, row_id) <= 30 AS kept FROM r WHERE category IS NOT NULL)
+oracle("category_quota", f"""WITH r AS (SELECT row_id, json_extract_string({STRICT}, '$.categories[0]') AS category, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, first_seen_at, url FROM items),
+k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, first_seen_at DESC NULLS LAST, url NULLS LAST, row_id) <= 30 AS kept FROM r WHERE category IS NOT NULL)
 SELECT category, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS dropped, min(score) FILTER (kept) AS lowest FROM k GROUP BY 1""")
 
 

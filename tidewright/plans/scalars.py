@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ CANONICAL_CTE = f"""
 WITH form_of AS (SELECT row_id, url AS raw, {_form_sql('url')} AS u FROM items),
 parts AS (SELECT row_id, raw, u, lower(regexp_extract(u, '{_URL_PARTS}', 1)) AS sch, lower(regexp_extract(u, '{_URL_PARTS}', 2)) AS h,
   regexp_extract(u, '{_URL_PARTS}', 3) AS p, regexp_extract(u, '{_URL_PARTS}', 4) AS qs FROM form_of),
-kept AS (SELECT *, list_filter(string_split(qs, '&'), lambda x: x <> '' AND contains(x, '=') AND NOT list_contains({_STRIP}, lower(split_part(x, '=', 1)))) AS ks FROM parts),
+pairs AS (SELECT *, list_transform(list_filter(string_split(qs, '&'), lambda x: x <> ''), lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, length(split_part(x, '=', 1)) + 2), '+', ' '))}}) AS kv FROM parts),
+kept AS (SELECT *, list_transform(list_filter(kv, lambda p: NOT list_contains({_STRIP}, lower(p.k))), lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')) AS ks FROM pairs),
 canon AS (SELECT row_id, CASE WHEN raw IS NULL OR raw = '' THEN raw WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
     CASE WHEN sch = 'http' AND h IN ({', '.join(q(h) for h in SECURE)}) THEN 'https' ELSE sch END || '://' || h ||
     CASE WHEN p <> '/' AND p LIKE '%/' THEN regexp_replace(p, '/+$', '') ELSE p END ||
@@ -107,10 +110,13 @@ def title_keys(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "stories").select("row_id", ids.normal_title(title).alias("normal"), ids.fallback_id(title, F.get("entities", F.lit(0)), F.col("published_at")).alias("fallback_id"))
 
 
+# Compatibility decompositions of single signs, from Python's Unicode tables; DuckDB has no function for them. Joined as one row.
+_CHANGED = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0x80, 0x2FA20) if not 0xD800 <= c < 0xE000}
+NFKD = "(SELECT map {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in _CHANGED.items() if a != b) + "} AS m) AS nfkd"
 _SIGNS = "[" + "".join("\\" + c for c in ids.TITLE_SIGNS) + "]"
-_NORMAL = rf"substr(trim(regexp_replace(regexp_replace(lower(title), {q(_SIGNS)}, '', 'g'), '\s+', ' ', 'g')), 1, 100)"
+_NORMAL = rf"substr(trim(regexp_replace(regexp_replace(lower(array_to_string(list_transform(string_split(title, ''), lambda c: coalesce(nfkd.m[c], c)), '')), {q(_SIGNS)}, '', 'g'), '\s+', ' ', 'g')), 1, 100)"
 oracle("title_keys", rf"""SELECT row_id, {_NORMAL} AS normal, 'fallback:' || substr(sha256(concat_ws('|', {_NORMAL}, coalesce(entities[1], 'unknown'),
-  coalesce(strftime(published_at AT TIME ZONE 'UTC', '%Y-%m-%d'), 'unknown'))), 1, 16) AS fallback_id FROM stories""")
+  coalesce(strftime(published_at AT TIME ZONE 'UTC', '%Y-%m-%d'), 'unknown'))), 1, 16) AS fallback_id FROM stories, {NFKD}""")
 
 
 @query
@@ -154,14 +160,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PLANTED = ("password = hunter2hunter2", "key AKIA" + "ABCDEFGHIJKLMNOP end", "nothing here", "sk-" + "a1" * 12, "Authorization: Basic abc", "hf_" + "x" * 36)
-# The SQL knows fifteen of the forms, with the two cookie headers the other way round; it differs where others occur.
-_SAFE = tuple(p for p in cleanup.SECRETS if p[0] not in ("github_classic", "aws_secret_key", "base64_long", "cookie_header", "set_cookie_header"))
-_SAFE += tuple(p for name in ("set_cookie_header", "cookie_header") for p in cleanup.SECRETS if p[0] == name)
 _text = "coalesce(body, '') || chr(10) || [" + ", ".join(q(s) for s in PLANTED) + f"][(row_id % {len(PLANTED)}) + 1]"
 _redact = "t"
-for _, _p in _SAFE:
+for _, _p in cleanup.SECRETS:
     _redact = f"regexp_replace({_redact}, {q(_p)}, '[REDACTED]', 'g')"
-_hits = ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN {q(n)} END" for n, p in _SAFE)
+_hits = ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN {q(n)} END" for n, p in cleanup.SECRETS)
 oracle("secret_scan", f"WITH x AS (SELECT row_id, {_text} AS t FROM releases) SELECT row_id, coalesce(array_to_string(list_filter([{_hits}], lambda h: h IS NOT NULL), ','), '') AS found, md5({_redact}) AS digest FROM x")
 
 

@@ -9,7 +9,7 @@ from tidewright.functions import ids
 from tidewright.functions.text import canonical_name, strict_json
 from tidewright.operators import linking, ranking
 from tidewright.plans.catalogue import oracle, query
-from tidewright.plans.scalars import _NORMAL, _STABLE, ARXIV, MODEL, RELEASE, q
+from tidewright.plans.scalars import _NORMAL, _STABLE, ARXIV, MODEL, NFKD, RELEASE, q
 from tidewright.session import table
 
 ENTITIES = {"velora": ["velora"], "kestrelab": ["kestrelab"], "mirandel": ["mirandel"], "osprion": ["osprion"], "retrieval": ["retrieval gating", "retrieval indexes"]}
@@ -37,7 +37,7 @@ def story_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _GROUPED = f"""g AS (SELECT coalesce({_STABLE}, 'fallback:' || substr(sha256(concat_ws('|', {_NORMAL}, 'unknown', coalesce(strftime(first_seen_at AT TIME ZONE 'UTC', '%Y-%m-%d'), 'unknown'))), 1, 16)) AS story_id,
-  {_STABLE} IS NOT NULL AS stable, row_id, url, title, tier, {_SOURCE} AS source, lower(trim(date_confidence)) AS confidence, published_at, first_seen_at FROM items)"""
+  {_STABLE} IS NOT NULL AS stable, row_id, url, title, tier, {_SOURCE} AS source, lower(trim(date_confidence)) AS confidence, published_at, first_seen_at FROM items, {NFKD})"""
 oracle("story_groups", f"""WITH {_GROUPED} SELECT story_id, count(*) AS item_count, count(DISTINCT source) AS sources, min(first_seen_at) AS first_seen,
   arg_min(published_at, (coalesce(confidence, '~'), row_id)) FILTER (published_at IS NOT NULL) AS published_at, arg_min(title, row_id) FILTER (title IS NOT NULL) AS title FROM g GROUP BY 1""")
 

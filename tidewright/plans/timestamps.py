@@ -22,4 +22,5 @@ def p2_zones(spark: SparkSession, folder: str) -> DataFrame:
     local = timestamps.zoneless(parsed, timestamps.slash_order(parsed))
     lacking = local.where(~F.col("zoned") & F.col("region").isNull() & (F.col("form") != "number"))
     zones = timestamps.known_zones(table(spark, folder, "source_config"), "source_id", "timezone")
-    return timestamps.estimate_zones(lacking, timestamps.CANDIDATES).join(zones.withColumnRenamed("tz", "configured"), "source", "left")
+    profile = timestamps.lag_profile(timestamps.instants_named(local))
+    return timestamps.estimate_zones(lacking, timestamps.histories(), profile).join(zones.withColumnRenamed("tz", "configured"), "source", "left")
