@@ -24,6 +24,40 @@ def test_json_cut():
         assert not tr.json_cut(broken)[0], broken
 
 
+def test_every_string_of_the_json_is_read(spark):
+    nested = json.dumps({"a": [{"note": "All code is out. We release all code and"}, 5, None], "b": {"c": {"d": SENTENCES[0]}}})
+    assert dict(tr.strings_in(json.loads(nested))) == {"note": "All code is out. We release all code and", "d": SENTENCES[0]}
+    rows = [(k, "s", json.dumps({"x": {"note": text(random.Random(k), 5)}})) for k in range(300)] + [(900, "s", nested)]
+    items = spark.createDataFrame(rows, "row_id long, source_id string, raw_json string")
+    none = spark.createDataFrame([], "row_id long, model string, summary_zh string")
+    found = {r.row_id for r in tr.cut_records(none, spark.createDataFrame([], "row_id long, source_id string, body string"), items).collect()}
+    assert 900 in found and len(found) <= 3
+
+
+def test_counts_beyond_32_bits(spark):
+    """Counts of the model stay right above 2 ** 31, and one bucket never holds the sum of two contexts."""
+    checks = [np.full(1 << b, -1, dtype=np.int64) for b in tr.BITS]
+    ends = [np.zeros(1 << b, dtype=np.int64) for b in tr.BITS]
+    goes, within = [np.zeros(1 << b, dtype=np.int64) for b in tr.BITS], [np.zeros(1 << b, dtype=np.int64) for b in tr.BITS]
+    s = tr.Suffixes(["the model is small."])
+    for o, order in enumerate(tr.ORDERS):
+        at = s.hashes[order][s.ends[0]]
+        checks[o][at], ends[o][at], goes[o][at] = s.checks[order][s.ends[0]], 3_000_000_000, 5
+
+    class Held:
+        value = (checks, ends, goes, within)
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"tbl": "releases", "row_id": 1, "source": "s", "field": "releases", "cut": False, "title": False, "text": "The model is small."}], schema=tr._VALUES)
+    (out,) = list(tr._score(Held)(iter([batch])))
+    assert out.to_pylist()[0]["score"] > 19  # log(3e9 / 6)
+    for o in range(len(tr.ORDERS)):
+        checks[o][checks[o] >= 0] += 1  # another context holds the buckets
+    (out,) = list(tr._score(Held)(iter([batch])))
+    assert out.to_pylist()[0]["score"] in (None, float("-inf"))
+
+
 def test_open_ends():
     for end in ("works with older versions, e.g.", "see [docs](https://code.exam", "```\npip install x", "fixed a crash in the (#4", "one of", "and &am", "so <a hre", "，", "Thanks to @"):
         assert tr.open_ended("Text. " + end), end
@@ -68,14 +102,37 @@ def pairs(rng, n):
 
 
 def test_classifier_on_held_out_spoilt_pairs():
+    """Pairs, parts of refusals and sentences of other languages that training never saw."""
     rng = random.Random(8)
-    hashed, dense, limits = pd_.fit(pairs(rng, 300))
-    rows, labels = pd_.synthetic(pairs(rng, 80), seed=99)
-    over = pd_._scores(rows, hashed, dense) - limits >= 0
+    model = pd_.fit(pairs(rng, 300))
+    rows, labels = pd_.synthetic(pairs(rng, 80), seed=99, held=True)
+    over = model.scores(rows) - model.limits >= 0
     recall = (over & (labels > 0)).sum(axis=0) / labels.sum(axis=0)
-    assert (recall > 0.9).all(), recall
+    assert (recall > 0.85).all(), recall
     sound = labels.sum(axis=1) == 0
     assert over[sound].any(axis=1).mean() < 0.03
+    # without the weights of n-grams and endings much is lost: they decide
+    model.grams[:], model.tails[:] = 0, 0
+    bare = model.scores(rows) - model.limits >= 0
+    lost = 1 - (bare & (labels > 0)).sum(axis=0) / labels.sum(axis=0)
+    assert lost[3] > 0.2 and bare[sound].any(axis=1).mean() + lost.sum() > 0.3, lost
+
+
+UNSEEN = (
+    "這個問題我沒辦法處理，換個題目再試試看吧。", "不好意思，這篇文章我目前無法閱讀，因此不能替您整理重點。", "I'm afraid I'm not able to do this for you.", "Sorry, that is something I can't translate.",
+    "Désolé, il m'est impossible de traduire ce document.", "Leider kann ich bei dieser Anfrage nicht helfen.", "申し訳ありませんが、この記事の翻訳はできません。",
+)
+
+
+def test_refusals_nobody_listed():
+    rng = random.Random(8)
+    model = pd_.fit(pairs(rng, 300))
+    known = {s for parts in pd_.PARTS.values() for group in parts for s in group}
+    assert not known & set(UNSEEN)
+    title = pairs(rng, 1)[0][0]
+    rows = pd_.features([title] * len(UNSEEN), list(UNSEEN), np.zeros(len(UNSEEN)), np.zeros(len(UNSEEN)))
+    over = model.scores(rows) - model.limits
+    assert (over[:, 0] >= 0).sum() >= len(UNSEEN) - 1, over[:, 0]
 
 
 def test_empty_words():
@@ -98,6 +155,10 @@ def test_defects_frame(spark):
     got = {r.row_id: r.defect for r in pd_.defects(df, st).collect()}
     assert got.get(3) == "empty" and got.get(5) == "copy" and got.get(6) == "refusal" and len(got) <= 6
     assert pd_.defects(df.limit(0), st).count() == 0
+    # a copy of any record of the story counts, not only of the longest
+    more = st.unionByName(spark.createDataFrame([(999, "s7", "Another heading", "A short note about something else entirely, in its own words.")], st.schema))
+    copied = df.where("row_id <> 7").unionByName(spark.createDataFrame([(7, "s7", t[7][2], "A short note about something else entirely, in its own words.", "x")], df.schema))
+    assert {r.row_id: r.defect for r in pd_.defects(copied, more).collect()}.get(7) in ("copy", "refusal")
 
 
 def test_tokens_of_items_and_stories():

@@ -6,11 +6,11 @@ trained on responses made defective on purpose: cut, copied from their own sourc
 left out), swapped for another story's text or another script, or refused. Refusals are put together from parts in
 several languages; nothing but the model decides about them, so ones put together otherwise are found by their n-grams. The base of
 training is a sample of at most ``SAMPLE`` pairs, drawn by hash; its own suspicious members are left out after a first
-round. A fifth of the pairs is held out, with refusals of parts that training never sees, to calibrate one threshold per
+round by pair features and a second, of each half by a model of the other. A fifth of the pairs is held out, with refusals of parts that training never sees, to calibrate one threshold per
 defect. Applying the model covers every pair and every whole text, a batch as one array.
 
-'empty' needs no model: it is an exact check for null, blank or placeholder text. Where several defects apply,
-the first of empty, refusal, copy, wrong_language, truncated is given. Overlap is counted against every record
+'empty' needs no model: it is an exact check for null, blank or placeholder text, and goes first, then 'copy'. Where several other defects
+apply, the one that exceeds its threshold most is given. Overlap is counted against every record
 of the story, by joins of hashed pieces, so that a copy of any of them is seen. A pair whose story is missing or has no
 text can't be a copy. An empty table gives an empty result; repeated rows each count; more columns change nothing.
 """
@@ -32,7 +32,10 @@ from tidewright.llm.truncation import stripped
 #: Pairs the classifier is trained on, at most.
 SAMPLE = 2000
 LABELS = ("refusal", "copy", "wrong_language", "truncated")
-BITS = 18
+COPY = LABELS.index("copy")
+#: Labels that n-grams and endings speak for: a copy is a relation to the source, which pair features show.
+SAID = np.array([1.0, 0.0, 1.0, 1.0])
+BITS, TAIL_BITS = 18, 14
 #: Characters of a piece that is compared with the source.
 PIECE = 5
 
@@ -41,6 +44,8 @@ PLACEHOLDER = re.compile(r"^\W*(?:n/?a|none|null|nil|undefined|tbd|todo|nan|無|
 _INVISIBLE = re.compile(r"[\s​-‏⁠﻿]+")
 _LABEL = re.compile(r"^\s*(?:摘要|標題|翻譯|譯文|導讀|原文|中文|summary_zh|title_zh|summary|title|translation)\s*[:：]\s*", re.I)
 _QUOTED = re.compile(r"「[^「」]*」|『[^『』]*』|《[^《》]*》|“[^“”]*”|\"[^\"]*\"|（[^（）]*）|https?://\S+")
+#: Tags, addresses and a short remark in brackets behind a text are no part of it.
+_BEHIND = re.compile(r"(?:\s*(?:(?:#\S+|\S{0,8}[:：]?\s*https?://[^\s/]+/\S+)\s*)+|(?<=[。！？])（[^（）]{1,12}）\s*)$")
 _WORD = re.compile(r"[a-zà-ÿ0-9]+")
 _NAME = re.compile(r"[A-Za-z]{4,}")
 
@@ -72,6 +77,18 @@ PARTS = {
     "pt": (("Desculpe, mas ", "Infelizmente, ", ""), ("não posso ", "não consigo ", "não estou autorizado a "), ("ajudar com este pedido", "resumir {}", "traduzir este texto"), (".", " porque falta o texto completo.", ". Consulte a fonte original.")),
     "ru": (("Извините, но ", "К сожалению, ", ""), ("я не могу ", "я не в состоянии ", "мне запрещено "), ("помочь с этим запросом", "перевести этот текст", "кратко изложить {}"), (".", ", так как полный текст не предоставлен.", ". Обратитесь к источнику.")),
 }
+# Sentences in other languages than the wanted one, that decline nothing. {} stands for the subject, # for a number.
+OTHERS = {
+    "zh_s": ("作者提出了 {}，用于处理这一任务，并在资源受限时保持稳定。", "实验表明，该方法在公开数据集上将准确率提高了 # 个百分点。", "该团队同时开放了源代码和 # 条标注样本，便于复现。", "不过实验只覆盖了少数领域，能否推广还需要进一步验证。", "总体来看，瓶颈在于数据质量，而不是模型规模。", "与 # 个基线相比，训练时间缩短了一半。", "论文还讨论了失败的情况以及可能的改进方向。"),
+    "en": ("The paper presents {}, a method that stays stable under tight budgets.", "On public data the accuracy rises by # points.", "Code and # labelled examples are released.", "The experiments cover few domains only, so it remains open how far the results carry over.", "The bottleneck is the quality of data rather than the size of the model.", "Compared with # baselines the training time is cut in half.", "In practice the component can be turned off at inference."),
+    "ja": ("本研究では {} を提案し、限られた計算資源でも安定して動作することを示す。", "公開データでの精度は # ポイント向上した。", "コードと # 件の注釈付きデータも公開されている。", "ただし、実験は一部の分野に限られており、一般化には検証が必要である。", "学習時間は従来の # 手法の半分で済む。", "全体として、課題はモデルの規模ではなくデータの質にある。"),
+    "ko": ("이 연구는 {}라는 새로운 방법을 제안하며 제한된 자원에서도 안정적이다.", "공개 데이터에서 정확도가 # 포인트 높아졌다.", "코드와 # 개의 주석 표본이 함께 공개되었다.", "다만 실험은 일부 분야만 다루어 일반화는 더 확인해야 한다.", "기존 # 개 방법보다 학습 시간이 절반으로 줄었다.", "전체적으로 병목은 모델 크기가 아니라 데이터 품질이다."),
+    "fr": ("Ce travail présente {}, une méthode légère qui reste stable avec peu de mémoire.", "Sur les corpus publics, la précision progresse de # points.", "Le code et # exemples annotés sont fournis pour faciliter la reproduction.", "Les essais ne couvrent que quelques domaines, et la portée des résultats reste à vérifier.", "En production, le module peut être désactivé sans perte.", "Le goulot d'étranglement tient à la qualité des données."),
+    "de": ("Die Arbeit stellt {} vor, ein Verfahren, das auch bei knappem Speicher stabil bleibt.", "Auf öffentlichen Datensätzen steigt die Genauigkeit um # Punkte.", "Der Code und # annotierte Beispiele liegen bei, damit sich die Läufe wiederholen lassen.", "Die Versuche decken nur wenige Bereiche ab.", "Im Betrieb lässt sich der Baustein abschalten, ohne das Modell neu zu trainieren.", "Der Engpass liegt in der Qualität der Daten."),
+    "es": ("Este trabajo presenta {}, un método ligero que se mantiene estable con poca memoria.", "En datos públicos la precisión sube # puntos.", "Se publican el código y # ejemplos anotados para facilitar la reproducción.", "Los ensayos solo cubren algunos dominios y queda por ver si se generaliza.", "En producción el módulo se puede apagar.", "El cuello de botella está en la calidad de los datos."),
+    "pt": ("Este trabalho apresenta {}, um método leve que permanece estável com pouca memória.", "Em dados públicos a precisão sobe # pontos.", "O código e # exemplos anotados são publicados.", "Os testes cobrem apenas alguns domínios."),
+    "ru": ("В работе представлен {}, метод, устойчивый при нехватке памяти.", "На открытых данных точность выросла на # пункта.", "Код и # размеченных примеров опубликованы.", "Опыты охватывают лишь несколько областей."),
+}
 #: How often each language is drawn.
 DRAWN = ("zh", "zh", "zh", "zh", "zh_s", "en", "en", "en", "ja", "ko", "fr", "de", "es", "pt", "ru")
 
@@ -165,24 +182,37 @@ ENDINGS = (1, 2, 3, 4, 6, 8)
 DENSE = 26
 
 
-def features(title: list[str], summary: list[str], in_title: np.ndarray, in_summary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams that occur in each row (where each row's begin, and all of them in order), and the dense pair features.
-    ``in_title`` and ``in_summary``: how much of each is contained in the source."""
+class Rows:
+    """Features of pairs: n-grams that occur (where each row's begin, and all of them in order), endings (one of each length), dense ones."""
+
+    def __init__(self, begin: np.ndarray, grams: np.ndarray, tails: np.ndarray, dense: np.ndarray):
+        self.begin, self.grams, self.tails, self.dense = begin, grams, tails, dense
+
+    def pick(self, at: np.ndarray, bare: np.ndarray) -> Rows:
+        """The rows ``at``; those marked ``bare`` without their n-grams."""
+        sizes = np.where(bare, 0, np.diff(self.begin)[at])
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return Rows(np.r_[0, ends], self.grams[place], self.tails[at], self.dense[at])
+
+
+def features(title: list[str], summary: list[str], in_title: np.ndarray, in_summary: np.ndarray) -> Rows:
+    """``in_title`` and ``in_summary``: how much of each is contained in the source."""
     bare, marked = map(list, zip(*[stripped(s) for s in summary], strict=True)) if summary else ([], [])
+    bare = [_BEHIND.sub("", b) or b for b in bare]
     body = [_LABEL.sub("", b) for b in bare]
     prose = [_QUOTED.sub("", b) or b for b in body]
     said = [_QUOTED.sub("", t) or t for t in title]
-    found = [_ngrams(*codes_of(title), 2, 1)]
     laid = codes_of(body)
-    found += [_ngrams(*laid, n, 2) for n in (2, 3)]
-    for n in ENDINGS:
-        # the text before a digit's run doesn't matter: all digits are one; one gram a text
-        tails = [re.sub(r"\d+", "9", b[-n - 8 :])[-n:].rjust(n, "\0") for b in bare]
-        found.append(_ngrams(*codes_of(tails), n, 3))
-    rows, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows, hashed = (np.concatenate(x) for x in zip(_ngrams(*codes_of(title), 2, 1), *[_ngrams(*laid, n, 2) for n in (2, 3)], strict=True))
     unique = np.unique(rows << BITS | hashed)
     rows, hashed = unique >> BITS, unique & ((1 << BITS) - 1)
     begin = np.searchsorted(rows, np.arange(len(title) + 1))
+    tails = np.zeros((len(title), len(ENDINGS)), dtype=np.int64)
+    for k, n in enumerate(ENDINGS):
+        ends = ["".join("a" if c.isascii() and c.isalpha() else c for c in re.sub(r"\d+", "9", b[-n - 8 :])[-n:]).rjust(n, "\0") for b in bare]  # all digits are one, all Latin letters
+        if ends:
+            tails[:, k] = _ngrams(*codes_of(ends), n, 3)[1] >> (BITS - TAIL_BITS)
     st, ss = script_shares(said), script_shares(prose)
     ft, fs = foreign(st), foreign(ss)
     it, is_ = in_title * (st[:, 5] > 0.5), in_summary * (ss[:, 5] > 0.5)
@@ -195,7 +225,7 @@ def features(title: list[str], summary: list[str], in_title: np.ndarray, in_summ
         it, is_, it > 0.7, is_ > 0.7, ft, fs, ft > 0.5, fs > 0.5, (np.maximum(ft, fs) > 0.5) & (np.maximum(it, is_) < 0.6),
         np.array(marked, dtype=float).reshape(-1), named, np.minimum(2, size / 200), size < 60, labelled, ss[:, 3] > 0.12,
     ]).astype(float)
-    return begin, hashed, dense
+    return Rows(begin, hashed, tails, dense)
 
 
 def empty(text: str | None) -> bool:
@@ -219,14 +249,19 @@ def _spoil(rng: np.random.Generator, text: str) -> str:
     return text
 
 
-def _foreign(rng: np.random.Generator, text: str, other: str) -> str:
-    kind = rng.integers(5)
-    if kind <= 1 and other:
+def _foreign(rng: np.random.Generator, text: str, other: str, subject: str, held: bool) -> str:
+    """Another story's source text, sentences of another language, or the text with characters of another script."""
+    kind = rng.integers(6)
+    if kind == 0 and other:
         return other
-    low, high = {2: (0x3042, 0x3094), 3: (0xAC00, 0xD7A0)}.get(int(kind), (0, 0))
-    if low:
-        share = 1.0 if kind == 3 else rng.uniform(0.25, 0.75)  # Japanese keeps some of the characters
-        return "".join(chr(int(rng.integers(low, high))) if script(c).startswith("han") and rng.random() < share else c for c in text)
+    if kind <= 3:
+        language = list(OTHERS)[int(rng.integers(len(OTHERS)))]
+        known = [s for k, s in enumerate(OTHERS[language]) if (k % 3 == 1) == held]
+        picked = [known[int(k)] for k in rng.permutation(len(known))[: int(rng.integers(1, len(known) + 1))]]
+        return ("" if language in ("zh_s", "ja") else " ").join(picked).replace("{}", subject).replace("#", str(int(rng.integers(2, 90_000))))
+    if kind == 4:  # Japanese keeps some of the characters
+        share = rng.uniform(0.25, 0.75)
+        return "".join(chr(int(rng.integers(0x3042, 0x3094))) if script(c).startswith("han") and rng.random() < share else c for c in text)
     return "".join(_SIMPLIFIED[int(rng.integers(len(_SIMPLIFIED)))] if script(c).startswith("han") and rng.random() < 0.35 else c for c in text)
 
 
@@ -245,7 +280,7 @@ def _refuse(rng: np.random.Generator, subject: str, held: bool, languages: tuple
     return out.strip().replace("{}", subject)
 
 
-def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7, held: bool = False) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7, held: bool = False) -> tuple[Rows, np.ndarray]:
     """Features of each pair as it is and spoilt in every way, with its labels."""
     rng, rows, labels = np.random.default_rng(seed), [], []
     for k, (title, summary, st, ss) in enumerate(pairs):
@@ -265,11 +300,11 @@ def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7, held: bool
             made.append(((title, _spoil(rng, source)), ("copy",)))
         if st.strip() and rng.random() < 0.4:
             made.append(((_spoil(rng, st), summary), ("copy",)))
-        swapped = _foreign(rng, summary, other[3])
+        swapped = _foreign(rng, summary, other[3], subject, held)
         if swapped != summary:
             mixed = summary.split("。")[0] + "。" + swapped if rng.random() < 0.2 and len(swapped) > 150 else swapped
             made.append(((title, mixed), ("wrong_language",)))
-        swapped = _foreign(rng, title, other[2])
+        swapped = _foreign(rng, title, other[2], subject, held)
         if swapped != title and rng.random() < 0.4:
             made.append(((swapped, summary), ("wrong_language",)))
         known = pieces(st) | pieces(ss)
@@ -280,58 +315,60 @@ def synthetic(pairs: list[tuple[str, str, str, str]], seed: int = 7, held: bool
     return features(t, s, np.array(it), np.array(is_)), np.array(labels).reshape(-1, len(LABELS))
 
 
-def scores(rows: tuple[np.ndarray, np.ndarray, np.ndarray], hashed: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """Log-odds per row and label."""
-    begin, grams, pair = rows
-    out, sizes = pair @ dense, np.diff(begin)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        out[some] += np.add.reduceat(hashed[grams], begin[:-1][some], axis=0) / np.sqrt(sizes[some])[:, None]
-    return out
+class Model:
+    """Weights of n-grams, endings and dense features, a column per label."""
 
+    def __init__(self):
+        self.grams, self.tails, self.dense = np.zeros((1 << BITS, len(LABELS))), np.zeros((1 << TAIL_BITS, len(LABELS))), np.zeros((DENSE, len(LABELS)))
+        self.limits = np.full(len(LABELS), np.inf)
 
-def _picked(rows: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows ``at``; those marked ``bare`` without their n-grams."""
-    begin, grams, pair = rows
-    sizes = np.where(bare, 0, np.diff(begin)[at])
-    ends = np.cumsum(sizes)
-    place = np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return np.r_[0, ends], grams[place], pair[at]
+    def scores(self, rows: Rows) -> np.ndarray:
+        """Log-odds per row and label."""
+        out, sizes = rows.dense @ self.dense + self.tails[rows.tails].sum(axis=1), np.diff(rows.begin)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] += np.add.reduceat(self.grams[rows.grams], rows.begin[:-1][some], axis=0) / np.sqrt(sizes[some])[:, None]
+        return out
 
 
 #: Share of the training examples that are shown without their n-grams, so that the pair features learn what they can alone.
-BARE = 0.25
+BARE = 0.3
+
 
+def _step(weights: np.ndarray, seen: np.ndarray, at: np.ndarray, push: np.ndarray, rate: float) -> None:
+    """AdaGrad on the rows ``at`` (which may repeat) of a table of weights."""
+    order = np.argsort(at, kind="stable")
+    edges = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+    unique = at[order][edges]
+    total = np.add.reduceat(push[order], edges, axis=0) + 1e-3 * weights[unique]
+    seen[unique] += total**2
+    weights[unique] -= rate * total / np.sqrt(seen[unique])
 
-def train(rows: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, epochs: int = 5, rate: float = 0.2, seed: int = 3, bare: float = BARE) -> tuple[np.ndarray, np.ndarray]:
+
+def train(rows: Rows, labels: np.ndarray, epochs: int = 5, rate: float = 0.2, seed: int = 3, bare: float = BARE) -> Model:
     """AdaGrad on the logistic loss of every label, a small batch at a time."""
-    rng = np.random.default_rng(seed)
-    hashed, dense = np.zeros((1 << BITS, len(LABELS))), np.zeros((DENSE, len(LABELS)))
-    seen_h, seen_d = np.full_like(hashed, 1e-2), np.full_like(dense, 1e-2)
+    rng, model = np.random.default_rng(seed), Model()
+    seen_g, seen_t, seen_d = (np.full_like(w, 1e-2) for w in (model.grams, model.tails, model.dense))
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
-            batch = _picked(rows, at, rng.random(len(at)) < bare)
-            wrong = 1 / (1 + np.exp(-np.clip(scores(batch, hashed, dense), -30, 30))) - labels[at]
-            sizes = np.diff(batch[0])
-            if len(batch[1]):
-                owner = np.repeat(np.arange(len(at)), sizes)
-                order = np.argsort(batch[1], kind="stable")
-                grams = batch[1][order]
-                edges = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-                share = wrong / np.sqrt(np.maximum(1, sizes))[:, None]
-                unique = grams[edges]
-                push = np.add.reduceat(share[owner[order]], edges, axis=0) + 1e-3 * hashed[unique]
-                seen_h[unique] += push**2
-                hashed[unique] -= 0.5 * rate * push / np.sqrt(seen_h[unique])
-            push = batch[2].T @ wrong
+            batch = rows.pick(at, rng.random(len(at)) < bare)
+            wrong = 1 / (1 + np.exp(-np.clip(model.scores(batch), -30, 30))) - labels[at]
+            said = wrong * SAID
+            sizes = np.diff(batch.begin)
+            if len(batch.grams):
+                share = said / np.sqrt(np.maximum(1, sizes))[:, None]
+                _step(model.grams, seen_g, batch.grams, share[np.repeat(np.arange(len(at)), sizes)], 0.5 * rate)
+            if bare < 1:
+                _step(model.tails, seen_t, batch.tails.ravel(), np.repeat(said, len(ENDINGS), axis=0), 0.5 * rate)
+            push = batch.dense.T @ wrong
             seen_d += push**2
-            dense -= rate * push / np.sqrt(seen_d)
-    return hashed, dense
+            model.dense -= rate * push / np.sqrt(seen_d)
+    return model
 
 
 def calibrate(given: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Per label the log-odds with the best F1, sound rows weighing as much as they do in practice (ten to one); of
-    log-odds that do equally well the middle."""
+    log-odds that do equally well one near the lower end, as what is made defective on purpose is the plainer case."""
     limits, sound = np.zeros(len(LABELS)), labels.sum(axis=1) == 0
     for l in range(len(LABELS)):
         own = labels[:, l] > 0
@@ -342,26 +379,37 @@ def calibrate(given: np.ndarray, labels: np.ndarray) -> np.ndarray:
         false = np.array([10 * (given[sound, l] >= x).sum() + (given[~own & ~sound, l] >= x).sum() for x in tried])
         f1 = 2 * hit / np.maximum(1, hit + false + own.sum())
         best = tried[f1 >= f1.max() - 1e-9]
-        limits[l] = (best.min() + best.max()) / 2
+        limits[l] = best.min() + (best.max() - best.min()) / 4
     return limits
 
 
-def fit(pairs: list[tuple[str, str, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of the hashed and dense features and thresholds, from pairs most of which are sound."""
+#: Log-odds from which a pair is left out of the base of training: what is sound lies far below.
+SUSPICIOUS = -2.0
+
+
+def _unsuspected(model: Model, pairs: list[tuple[str, str, str, str]], limit: float) -> list[tuple[str, str, str, str]]:
+    """The pairs to which the model gives no defect."""
     if not pairs:
-        return np.zeros((1 << BITS, len(LABELS))), np.zeros((DENSE, len(LABELS))), np.full(len(LABELS), np.inf)
-    rows, labels = synthetic(pairs[: len(pairs) // 3 + 1])
-    # by pair features alone: n-grams would learn the defects among the supposedly sound pairs by heart
-    first = train(rows, labels, epochs=3, bare=1.0)
+        return []
     t, s, st, ss = map(list, zip(*pairs, strict=True))
     known = [pieces(a) | pieces(b) for a, b in zip(st, ss, strict=True)]
     given = features(t, s, np.array([contained(x, k) for x, k in zip(t, known, strict=True)]), np.array([contained(x, k) for x, k in zip(s, known, strict=True)]))
-    suspicion = scores(given, *first).max(axis=1)
-    sound = [p for p, x in zip(pairs, suspicion, strict=True) if x < 0.0] or pairs
+    return [p for p, x in zip(pairs, model.scores(given).max(axis=1), strict=True) if x < limit]
+
+
+def fit(pairs: list[tuple[str, str, str, str]]) -> Model:
+    """The trained model with its thresholds, from pairs most of which are sound."""
+    if not pairs:
+        return Model()
+    sound = _unsuspected(train(*synthetic(pairs[: len(pairs) // 3 + 1]), epochs=3, bare=1.0), pairs, 0.0)
+    # then each half by a model of the other, which can't know its defects by heart
+    halves = sound[::2], sound[1::2]
+    sound = [p for own, other in (halves, halves[::-1]) for p in _unsuspected(train(*synthetic(other or own), epochs=3), own, SUSPICIOUS)] or pairs
     cut = len(sound) * 4 // 5 if len(sound) >= 10 else len(sound)
-    hashed, dense = train(*synthetic(sound[:cut], seed=11))
+    model = train(*synthetic(sound[:cut], seed=11))
     rows, labels = synthetic(sound[cut:] or sound, seed=13, held=True)
-    return hashed, dense, calibrate(scores(rows, hashed, dense), labels)
+    model.limits = calibrate(model.scores(rows), labels)
+    return model
 
 
 def sources(stories: DataFrame) -> DataFrame:
@@ -384,7 +432,8 @@ def _hashed_pieces(text: Column) -> Column:
 def overlaps(pairs: DataFrame, stories: DataFrame) -> DataFrame:
     """(row_id, in_title, in_summary): how much of title_zh and summary_zh, where mostly in letters, is contained in the titles and
     summaries of all records of the story. Pieces are joined by story and hash, so no story's records meet in one task."""
-    lettered = lambda c: F.length(F.regexp_replace(c, r"[^A-Za-z]", "")) * 2 > F.length(F.regexp_replace(c, r"[\x{4e00}-\x{9fff}]", "")) * F.lit(0.6)
+    # well below the share of letters from which a copy is looked for, as quotations still count here
+    lettered = lambda c: F.length(F.regexp_replace(c, r"[^A-Za-z]", "")) > 1.2 * F.length(F.regexp_replace(c, r"[^\x{3041}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]", ""))
     label = _LABEL.pattern
     asked = pairs.where(F.col("story_id").isNotNull()).select("row_id", "story_id", *[F.when(lettered(F.col(c)), F.regexp_replace(F.col(c), "(?i)" + label, "")).alias(c) for c in ("title_zh", "summary_zh")])
     asked = asked.where(F.col("title_zh").isNotNull() | F.col("summary_zh").isNotNull())
@@ -413,15 +462,15 @@ def defects(translations: DataFrame, stories: DataFrame, sample: int = SAMPLE) -
     met = pairs.join(overlaps(pairs, stories), "row_id", "left").select("row_id", "title_zh", "summary_zh", F.coalesce("in_title", F.lit(0.0)).alias("in_title"), F.coalesce("in_summary", F.lit(0.0)).alias("in_summary"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, dense, limits = model.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, title, summary = (batch.column(c).to_pylist() for c in ("row_id", "title_zh", "summary_zh"))
                 none = np.array([empty(a) or empty(b) for a, b in zip(title, summary, strict=True)], dtype=bool)
                 rows = features([t or "" for t in title], [s or "" for s in summary], batch.column("in_title").to_numpy(), batch.column("in_summary").to_numpy())
-                over = scores(rows, hashed, dense) >= limits
-                first = np.where(none, 0, np.where(over.any(axis=1), over.argmax(axis=1) + 1, -1))
+                over = model.value.scores(rows) - model.value.limits
+                over[over[:, COPY] >= 0, COPY] = np.inf  # what stands in the source is nothing else
+                first = np.where(none, 0, np.where((over >= 0).any(axis=1), over.argmax(axis=1) + 1, -1))
                 hit = np.flatnonzero(first >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], type=pa.int64()), pa.array([("empty", *LABELS)[first[k]] for k in hit], type=pa.string())], schema=_RESULT)
 

@@ -12,8 +12,8 @@ against going on, in the longest context with enough evidence, leaving the value
 language and column is the one that best separates the values as they are from the same values cut at a
 random place; a column whose ends can't be told from cuts (``LEAST_GAIN``) has none. Exact checks follow the model: a text that stops
 inside a word, leaves a bracket, fence, tag or entity open, hangs on a word or sign that needs a continuation, or
-carries an unmistakable mark, was cut whatever its odds; closed code blocks, texts that only repeat the record's title, and values
-without any blank (names, addresses, numbers) were not cut by odds.
+carries an unmistakable mark, was cut whatever its odds; closed code blocks, and values without any blank (names, addresses,
+numbers) were not cut by odds; of a text that only repeats the record's title nothing but a mark tells a cut.
 
 Of ``items.raw_json`` the JSON itself is checked (it was cut where it ends inside a value or container) and,
 where it can be read, every string in it at any depth, by its key as column. Nulls, blanks and placeholders were not cut. An
@@ -187,9 +187,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_VALUES), _VALUES, strict=True)], schema=_VALUES)
 
 
+_WORD = re.compile(r"\w+")
+
+
 def _same(text: str, title: str | None) -> bool:
-    """Whether the text only repeats the record's title."""
-    return title is not None and " ".join(text.split()).casefold() == " ".join(title.split()).casefold()
+    """Whether the text only repeats the record's title, as far as spelling and additions allow."""
+    if not title or len(text) > 2 * len(title) + 40:
+        return False
+    own, other = set(_WORD.findall(text.casefold())), set(_WORD.findall(title.casefold()))
+    return bool(own) and 2 * len(own & other) >= len(own | other)
 
 
 class Suffixes:
@@ -347,7 +353,7 @@ def _score(model) -> object:
                     continue
                 prose = bool(_PROSE.search(bare)) and not _PLACEHOLDER.match(bare)
                 hanging = bool(midword[k]) and not _COMPLETE_URL.search(bare[-200:])
-                sure = marked or (prose and (hanging or open_ended(bare)))
+                sure = marked or (prose and not same[row] and (hanging or open_ended(bare)))
                 ended = _SENTENCE_END.search(bare[-12:])
                 settled = not prose or same[row] or bare.endswith("```")
                 rows.append((*head, language(bare), sure, settled, _number(best[k] if ended else natural[k]), _number(synthetic[k])))
