@@ -55,7 +55,7 @@ def test_tables_with_nulls_repeats_and_clashing_columns(spark):
 ZONES = {"tokyo": "Asia/Tokyo", "york": "America/New_York", "utc": "UTC", "paris": "Europe/Paris", "kathmandu": "Asia/Kathmandu", "sydney": "Australia/Sydney", "lima": "America/Lima"}
 
 
-def observed(days=60, zoned=False):
+def observed(days=55, zoned=False):
     """(row_id, source, local time, received): one value a day from 2025 on and source, received minutes later, one in seventy too early."""
     rows = []
     for day in range(days):
