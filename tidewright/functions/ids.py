@@ -81,3 +81,8 @@ def link_type(url: Column, kind: Column, tier: Column, types: tuple = LINK_TYPES
     for part, value in reversed(types):
         out = F.when(F.lower(url).contains(part), value).otherwise(out)
     return out
+
+
+def document_url(field: Column, forum: Column, site: str) -> Column:
+    """A review platform's document: a relative path completed, a whole address as it is, any other value by the forum; null stays."""
+    return F.when(field.startswith("/pdf"), F.concat(F.lit(site), field)).when(field.startswith("http"), field).when(field.isNotNull() & (field != ""), F.concat(F.lit(site + "/pdf?id="), forum))

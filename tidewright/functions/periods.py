@@ -21,3 +21,8 @@ def month_id(day: Column) -> Column:
 
 def local_day(when: Column, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(when, zone))
+
+
+def days_of_month(period: Column) -> Column:
+    """The days of the month ``yyyy-MM``."""
+    return F.dayofmonth(F.last_day(F.to_date(F.concat(period, F.lit("-01")))))

@@ -56,6 +56,37 @@ def ranked(unique: DataFrame, period: str | list[str], score: str, when: str, ti
     return unique.withColumn("report_rank", place).where(F.col("report_rank") <= limit)
 
 
+# Words of a report's title and summary.
+TITLES = {"week": " AI 研究週報", "month": " AI 研究月報"}
+
+
+def title_of(period: Column, kind: str) -> Column:
+    return F.concat(period, F.lit(TITLES[kind]))
+
+
+def summary_of(period: Column, kind: str, papers: Column, blogs: Column, covered: Column, missing: Column, candidates: Column, topics: Column | None = None) -> Column:
+    """What a report says of itself."""
+    label = F.lit("本週") if kind == "week" else F.concat(period, F.lit(" 月"))
+    days = F.concat(F.lit("涵蓋 "), covered.cast("string"), F.lit(" 天資料"), F.when(missing > 0, F.concat(F.lit("，另有 "), missing.cast("string"), F.lit(" 天缺資料"))).otherwise("，資料完整"))
+    parts = F.concat_ws("與", F.when(papers > 0, F.concat(papers.cast("string"), F.lit(" 篇 AI 論文"))), F.when(blogs > 0, F.concat(blogs.cast("string"), F.lit(" 篇值得看的技術文章"))))
+    topic = F.lit("") if topics is None else F.coalesce(F.concat(F.lit("，重點集中在 "), F.nullif(topics, F.lit(""))), F.lit(""))
+    some = F.concat(label, F.lit("整理 "), parts, topic, F.lit("。"), days, F.lit("，共從 "), candidates.cast("string"), F.lit(" 篇候選中篩選。"))
+    return F.when(papers + blogs > 0, some).otherwise(F.concat(label, F.lit("尚未找到符合條件的論文或文章推薦。"), days, F.lit("。")))
+
+
+def indexed(reports: DataFrame) -> DataFrame:
+    """Adds place (1: the latest of its kind), path and of_kind (recommendations of all reports of the kind) to one row per report."""
+    kind = Window.partitionBy("report_type")
+    path = F.concat(F.lit("api/reports/"), "report_type", F.lit("/"), "period", F.lit(".json"))
+    return reports.withColumn("place", F.row_number().over(kind.orderBy(F.desc("period")))).withColumn("path", path).withColumn("of_kind", F.sum("recommendations").over(kind))
+
+
+def overridden(value: Column, generated: Column) -> Column:
+    """A generated text in place of the report's own, blanks squeezed, where there is any."""
+    clean = F.trim(F.regexp_replace(generated, r"\s+", " "))
+    return F.when(clean != "", clean).otherwise(value)
+
+
 def coverage(days: DataFrame, first: str, last: str) -> DataFrame:
     """(day, covered): every day from ``first`` to ``last`` and whether ``days`` (column day) has it."""
     wanted = days.sparkSession.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS day")

@@ -106,10 +106,10 @@ def day_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SECTIONS = f"""{SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY digest_date ORDER BY {_BEST}) AS rn, hf_model_id IS NOT NULL OR github_release_url IS NOT NULL AS rel FROM scored),
-t AS (SELECT *, CASE WHEN rn <= 1 THEN 'top5' WHEN rel THEN 'model_releases' WHEN arxiv_id IS NOT NULL THEN 'papers' ELSE 'radar' END AS k FROM o),
-u AS (SELECT *, row_number() OVER (PARTITION BY digest_date, k ORDER BY {_BEST}) AS kn FROM t), v AS (SELECT *, CASE WHEN k = 'papers' AND kn > 2 THEN 'radar' ELSE k END AS k2 FROM u),
+t AS (SELECT *, CASE WHEN rn <= 5 THEN 'top5' WHEN rel THEN 'model_releases' WHEN arxiv_id IS NOT NULL THEN 'papers' ELSE 'radar' END AS k FROM o),
+u AS (SELECT *, row_number() OVER (PARTITION BY digest_date, k ORDER BY {_BEST}) AS kn FROM t), v AS (SELECT *, CASE WHEN k = 'papers' AND kn > 70 THEN 'radar' ELSE k END AS k2 FROM u),
 w AS (SELECT *, row_number() OVER (PARTITION BY digest_date, k2 ORDER BY {_BEST}) AS kn2 FROM v),
-sec AS (SELECT row_id, digest_date, CASE WHEN k2 = 'radar' AND kn2 > 1 THEN NULL ELSE k2 END AS section FROM w)"""
+sec AS (SELECT row_id, digest_date, CASE WHEN k2 = 'radar' AND kn2 > 20 THEN NULL ELSE k2 END AS section FROM w)"""
 oracle("day_sections", f"WITH {_SECTIONS} SELECT row_id, digest_date, section FROM sec")
 
 
@@ -145,18 +145,22 @@ oracle("score_percentiles", "SELECT source, " + ", ".join(f"list_sort(list(score
 PAPER_SOURCES, BLOG_SOURCES = r"^(?:arxiv-|axv-)|^(?:hf|hub)-daily-papers$", ["plume-notes"]
 
 
-def _report(spark: SparkSession, folder: str, kind: str, limit: int, zone: str = "UTC", lookahead: int = 1) -> DataFrame:
-    """The papers and the blogs of each period by local publication date, from the report sections of its days' archives
+def _candidates(spark: SparkSession, folder: str, kind: str, zone: str = "UTC", lookahead: int = 1) -> DataFrame:
+    """The papers and blogs that compete in each period by local publication date, from the report sections of its days' archives
     and of ``lookahead`` days after."""
     link = F.col("primary_link")
     taken = reports.report_list(F.col("arxiv_id"), link["link_type"], link["source_id"], PAPER_SOURCES, BLOG_SOURCES)
-    extra = table(spark, folder, "stories").select("row_id", taken.alias("list"), F.array_position(F.array(*[F.lit(n) for n in reports.SECTIONS]), F.col("section")).alias("section"))
+    extra = table(spark, folder, "stories").select("row_id", taken.alias("list"), F.array_position(F.array(*[F.lit(n) for n in reports.SECTIONS]), F.col("section")).alias("section"), link["link_type"].alias("link_type"))
     local = reports.local_date(F.col("published_at"), F.col("digest_date"), zone)
     rows = scored(spark, folder).join(extra.where("section > 0 AND list IS NOT NULL"), "row_id")
     rows = rows.withColumn("local", local).where(reports.in_scan(F.col("local"), F.col("digest_date"), kind, lookahead))
     rows = rows.withColumn("period", periods.week_id(F.col("local")) if kind == "week" else periods.month_id(F.col("local")))
     key = reports.report_key(F.col("arxiv_id"), F.col("story_id"), F.col("url"), F.col("title"), F.col("published_at"))
-    rows = rows.withColumn("key", key).withColumn("seen", F.struct("digest_date", "section", "row_id"))
+    return rows.withColumn("key", key).withColumn("seen", F.struct("digest_date", "section", "row_id"))
+
+
+def _report(spark: SparkSession, folder: str, kind: str, limit: int, zone: str = "UTC", lookahead: int = 1) -> DataFrame:
+    rows = _candidates(spark, folder, kind, zone, lookahead)
     unique = reports.best_of_key(rows, ["period", "list", "key"], "score", "seen", ["row_id", "story_id", "title", "published_at"])
     best = reports.ranked(unique, ["period", "list"], "score", "published_at", "title", "seen", limit)
     best = best.where((F.col("list") == "papers") | (F.col("report_rank") <= reports.BLOG_LIMIT))
@@ -164,12 +168,25 @@ def _report(spark: SparkSession, folder: str, kind: str, limit: int, zone: str =
 
 
 _KEY = "coalesce('arxiv_id:' || lower(nullif(arxiv_id, '')), 'story_id:' || lower(nullif(story_id, '')), 'url:' || lower(nullif(url, '')), 'title:' || lower(trim(coalesce(title, ''))) || ':' || coalesce(published_at::VARCHAR, ''))"
+_LINK, _LINK_SOURCE = "lower(coalesce(primary_link.link_type, ''))", "lower(coalesce(primary_link.source_id, ''))"
+_LIST = f"""CASE WHEN coalesce(stories.arxiv_id, '') <> '' OR {_LINK} IN ('arxiv', 'paper', 'openreview') OR regexp_matches({_LINK_SOURCE}, '^arxiv-|^axv-|^hf-daily-papers$|^hub-daily-papers$') THEN 'papers'
+  WHEN {_LINK} IN ('article', 'blog', 'html', 'official') OR {_LINK_SOURCE} = 'plume-notes' OR contains({_LINK_SOURCE}, 'blog') THEN 'blogs' END"""
 
 
-def _report_sql(period: str, limit: int) -> str:
-    return f"""WITH {SCORED}, c AS (SELECT *, {period} AS period, {_KEY} AS key FROM scored), u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY period, key ORDER BY score DESC, row_id) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY score DESC, coalesce(epoch_us(published_at), 0) DESC, lower(coalesce(title, '')), row_id) AS report_rank FROM u)
-SELECT period, report_rank::INT AS report_rank, row_id, story_id, score FROM r WHERE report_rank <= {limit}"""
+def _candidates_sql(kind: str) -> str:
+    """The records of the sections papers, top5 and radar (in this order) that a list takes, by the period of their publication (else of
+    their archive), from the archives of that period's days and of the day after."""
+    name = "strftime(local, '%G-W%V')" if kind == "week" else "strftime(local, '%Y-%m')"
+    last = "(date_trunc('week', local)::DATE + 6)" if kind == "week" else "(date_trunc('month', local) + INTERVAL 1 MONTH)::DATE - 1"
+    return f"""{SCORED}, x AS (SELECT row_id, list_position(['papers', 'top5', 'radar'], section) AS sec, {_LIST} AS list FROM stories WHERE section IN ('papers', 'top5', 'radar')),
+m AS (SELECT scored.*, x.sec, x.list, coalesce((published_at AT TIME ZONE 'UTC')::DATE, digest_date) AS local, {_KEY} AS key FROM scored JOIN x USING (row_id) WHERE x.list IS NOT NULL),
+c AS (SELECT *, {name} AS period FROM m WHERE digest_date >= date_trunc('{kind}', local)::DATE AND digest_date <= {last} + 1)"""
+
+
+def _report_sql(kind: str, limit: int) -> str:
+    return f"""WITH {_candidates_sql(kind)}, u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY period, list, key ORDER BY coalesce(score, 0) DESC, digest_date, sec, row_id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY period, list ORDER BY score DESC, coalesce(epoch_us(published_at), 0) DESC, lower(coalesce(title, '')), digest_date, sec, row_id) AS report_rank FROM u)
+SELECT period, list, report_rank::INT AS report_rank, row_id, story_id, score FROM r WHERE report_rank <= {limit} AND (list = 'papers' OR report_rank <= 30)"""
 
 
 @query
@@ -177,7 +194,7 @@ def report_weekly(spark: SparkSession, folder: str) -> DataFrame:
     return _report(spark, folder, "week", 30)
 
 
-oracle("report_weekly", _report_sql("strftime(digest_date, '%G-W%V')", 30))
+oracle("report_weekly", _report_sql("week", 30))
 
 
 @query
@@ -185,7 +202,60 @@ def report_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return _report(spark, folder, "month", 100)
 
 
-oracle("report_monthly", _report_sql("strftime(digest_date, '%Y-%m')", 100))
+oracle("report_monthly", _report_sql("month", 100))
+
+
+@query
+def report_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each week's lists the records considered and the stories left once doubles are gone."""
+    rows = _candidates(spark, folder, "week").groupBy("period", "list", "key").agg(F.count("*").alias("n"))
+    return rows.groupBy("period", "list").agg(F.sum("n").alias("items_considered"), F.count("*").alias("stories_considered"))
+
+
+oracle("report_counters", f"WITH {_candidates_sql('week')} SELECT period, list, count(*) AS items_considered, count(DISTINCT key) AS stories_considered FROM c GROUP BY 1, 2")
+
+
+@query
+def report_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Title and summary of each month's report: how many papers and blogs it recommends, of how many candidates, and how many days it covers."""
+    picked = _report(spark, folder, "month", 100).groupBy("period").agg(F.count_if(F.col("list") == "papers").alias("papers"), F.count_if(F.col("list") == "blogs").alias("blogs"))
+    considered = _candidates(spark, folder, "month").groupBy("period").agg(F.count_distinct("list", "key").alias("candidates"))
+    days = table(spark, folder, "stories").select("digest_date").distinct().groupBy(periods.month_id(F.col("digest_date")).alias("period")).agg(F.count("*").alias("covered"))
+    rows = picked.join(considered, "period").join(days, "period", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return rows.select("period", reports.title_of(F.col("period"), "month").alias("title"), reports.summary_of(F.col("period"), "month", F.col("papers"), F.col("blogs"), F.col("covered"), periods.days_of_month(F.col("period")) - F.col("covered"), F.col("candidates")).alias("summary"))
+
+
+oracle("report_texts", f"""WITH {_candidates_sql('month')}, pk AS (SELECT period, list, count(DISTINCT key) AS k FROM c GROUP BY 1, 2),
+n AS (SELECT period, sum(CASE WHEN list = 'papers' THEN least(k, 100) ELSE 0 END)::BIGINT AS papers, sum(CASE WHEN list = 'blogs' THEN least(k, 30) ELSE 0 END)::BIGINT AS blogs, sum(k)::BIGINT AS candidates FROM pk GROUP BY 1),
+d AS (SELECT strftime(digest_date, '%Y-%m') AS period, count(DISTINCT digest_date) AS covered FROM stories GROUP BY 1),
+b AS (SELECT n.*, coalesce(covered, 0) AS covered, day(last_day((period || '-01')::DATE)) - coalesce(covered, 0) AS missing FROM n LEFT JOIN d USING (period))
+SELECT period, period || ' AI 研究月報' AS title, period || ' 月整理 ' || array_to_string(list_filter([CASE WHEN papers > 0 THEN papers || ' 篇 AI 論文' END, CASE WHEN blogs > 0 THEN blogs || ' 篇值得看的技術文章' END], lambda s: s IS NOT NULL), '與')
+  || '。涵蓋 ' || covered || ' 天資料' || CASE WHEN missing > 0 THEN '，另有 ' || missing || ' 天缺資料' ELSE '，資料完整' END || '，共從 ' || candidates || ' 篇候選中篩選。' AS summary FROM b""")
+
+
+@query
+def report_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of all reports, latest first within their kind, and which is the latest; doubles of a period can't occur."""
+    both = [_report(spark, folder, kind, limit).select(F.lit(name).alias("report_type"), "period") for kind, name, limit in (("week", "weekly", 30), ("month", "monthly", 100))]
+    rows = both[0].unionByName(both[1]).groupBy("report_type", "period").agg(F.count("*").alias("recommendations"))
+    return reports.indexed(rows)
+
+
+oracle("report_index", f"""WITH a AS (SELECT 'weekly' AS report_type, period FROM ({_report_sql('week', 30)}) UNION ALL SELECT 'monthly', period FROM ({_report_sql('month', 100)})),
+n AS (SELECT report_type, period, count(*) AS recommendations FROM a GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY report_type ORDER BY period DESC)::INT AS place, 'api/reports/' || report_type || '/' || period || '.json' AS path, sum(recommendations) OVER (PARTITION BY report_type)::BIGINT AS of_kind FROM n""")
+
+
+@query
+def report_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Bounds of the week and the month of every archived day, and the month before."""
+    d = table(spark, folder, "stories").select(F.col("digest_date").alias("day")).distinct()
+    return d.select("day", periods.week_id(F.col("day")).alias("week"), periods.week_start(F.col("day")).alias("week_start"), F.date_add(periods.week_start(F.col("day")), 6).alias("week_end"),
+                    F.trunc("day", "month").alias("month_start"), F.last_day("day").alias("month_end"), periods.month_id(F.add_months(F.trunc("day", "month"), -1)).alias("month_before"))
+
+
+oracle("report_periods", """SELECT DISTINCT digest_date AS day, strftime(digest_date, '%G-W%V') AS week, date_trunc('week', digest_date)::DATE AS week_start, date_trunc('week', digest_date)::DATE + 6 AS week_end,
+  date_trunc('month', digest_date)::DATE AS month_start, last_day(digest_date) AS month_end, strftime(date_trunc('month', digest_date) - INTERVAL 1 MONTH, '%Y-%m') AS month_before FROM stories""")
 
 
 @query

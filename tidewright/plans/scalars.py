@@ -47,7 +47,7 @@ WITH form_of AS (SELECT row_id, url AS raw, {_form_sql('url')} AS u FROM items),
 parts AS (SELECT row_id, raw, u, lower(regexp_extract(u, '{_URL_PARTS}', 1)) AS sch, lower(regexp_extract(u, '{_URL_PARTS}', 2)) AS h,
   regexp_extract(u, '{_URL_PARTS}', 3) AS p, regexp_extract(u, '{_URL_PARTS}', 4) AS qs FROM form_of),
 pairs AS (SELECT *, list_transform(list_filter(string_split(qs, '&'), lambda x: x <> ''), lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, length(split_part(x, '=', 1)) + 2), '+', ' '))}}) AS kv FROM parts),
-kept AS (SELECT *, list_transform(list_filter(kv, lambda p: NOT list_contains({_STRIP}, lower(p.k))), lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')) AS ks FROM pairs),
+kept AS (SELECT *, list_transform(list_filter(kv, lambda e: NOT list_contains({_STRIP}, lower(e.k))), lambda e: replace(url_encode(e.k), '%20', '+') || '=' || replace(url_encode(e.v), '%20', '+')) AS ks FROM pairs),
 canon AS (SELECT row_id, CASE WHEN raw IS NULL OR raw = '' THEN raw WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN
     CASE WHEN sch = 'http' AND h IN ({', '.join(q(h) for h in SECURE)}) THEN 'https' ELSE sch END || '://' || h ||
     CASE WHEN p <> '/' AND p LIKE '%/' THEN regexp_replace(p, '/+$', '') ELSE p END ||
