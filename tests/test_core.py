@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright import sinks
@@ -141,8 +142,23 @@ def test_archives_and_streams(spark, tmp_path):
     query = streams.sightings(stream).writeStream.format("memory").queryName("sightings").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(r.url for r in spark.table("sightings").collect()) == ["https://x.example/a", "https://x.example/b"]
-    streams.upsert(stream, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "state" / "generation=0")).count() == 3
+    folder, check = str(tmp_path / "state"), str(tmp_path / "ck")
+    streams.upsert(stream, folder, check).awaitTermination(60)
+    assert streams.current_state(spark, folder).count() == 2
+    # further batches, each after a restart, then a new checkpoint over the state that is there
+    for k, (hash_, at) in enumerate((("h1", 3), ("h9", 4))):
+        spark.createDataFrame([("https://x.example/a", hash_, f"t{k}", datetime(2024, 1, 1, at), "s", "blog")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.upsert(stream, folder, check).awaitTermination(60)
+    one = lambda: streams.current_state(spark, folder).where("url LIKE '%/a'").first()
+    assert (one().content_hash, one().first_seen.hour, one().last_seen.hour, streams.Commits(spark, folder).last()["batch"]) == ("h9", 1, 4, 2)
+    streams.upsert(stream, folder, str(tmp_path / "ck2")).awaitTermination(60)
+    assert streams.current_state(spark, folder).count() == 2 and one().first_seen.hour == 1
+    assert len([d for d in (tmp_path / "state").iterdir() if d.name.startswith("generation")]) == 1
+    # a state that can't be read is an error, not an empty state
+    last = streams.Commits(spark, folder).last()
+    streams.Commits(spark, folder).drop(last["generation"])
+    with pytest.raises(Exception, match="generation"):
+        streams.current_state(spark, folder).count()
 
 
 def test_entry_without_the_training_package(monkeypatch):

@@ -32,7 +32,7 @@ def weighted(components: Column, score: Column, confidence: Column) -> Column:
 def entries(answers: DataFrame, text: str) -> DataFrame:
     """Adds entry (id, components, score, rationale): one row per entry of an answer's JSON array, or of its ``papers``."""
     bare = cleanup.balanced_json(cleanup.unfenced(F.col(text)))
-    found = F.coalesce(F.from_json(bare, ENTRY), F.from_json(F.get_json_object(bare, "$.papers"), ENTRY))
+    found = F.from_json(F.when(bare.startswith("["), bare).otherwise(F.get_json_object(bare, "$.papers")), ENTRY)
     return answers.select("*", F.explode(found).alias("entry"))
 
 

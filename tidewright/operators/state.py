@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_previous(df: DataFrame, key: str, value: str, order: list[str], bucket: Column, name: str) -> DataFrame:
-    """Adds ``name``: the value of the row before, per key in ``order``.
+def with_previous(df: DataFrame, key: str, value: str, order: list[str], bucket: Column, name: str, first: str) -> DataFrame:
+    """Adds ``name``: the value of the row before, per key in ``order``, and ``first``: whether there is none.
 
     A key that holds much of the data is split by ``bucket`` (which must not decrease along the order): windows run
     inside a bucket, and the first row of a bucket gets the last value of the key's bucket before, found on one
@@ -17,17 +17,16 @@ def with_previous(df: DataFrame, key: str, value: str, order: list[str], bucket:
     inner = Window.partitionBy(key, "_bucket").orderBy(*order)
     rows = rows.withColumn("_before", F.lag(F.struct(value)).over(inner))
     last = rows.groupBy(key, "_bucket").agg(F.max(F.struct(*order, value)).alias("_last"))
-    last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))).select(key, "_bucket", F.struct(F.col(f"_carried.{value}").alias(value)).alias("_carried"))
-    joined = rows.join(last, [key, "_bucket"])
-    return joined.withColumn(name, F.coalesce("_before", "_carried")[value]).drop("_bucket", "_before", "_carried")
+    carried = F.lag(F.struct(F.col(f"_last.{value}").alias(value))).over(Window.partitionBy(key).orderBy("_bucket"))
+    joined = rows.join(last.select(key, "_bucket", carried.alias("_carried")), [key, "_bucket"])
+    before = F.coalesce("_before", "_carried")
+    return joined.withColumn(name, before[value]).withColumn(first, before.isNull()).drop("_bucket", "_before", "_carried")
 
 
 def classify(observations: DataFrame, key: str, content: str, order: list[str], bucket: Column) -> DataFrame:
     """Adds event: NEW for a key's first observation, UNCHANGED where the content is as before, else UPDATED."""
-    rows = with_previous(observations, key, content, order, bucket, "_previous")
-    first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    rows = rows.join(first, key)
-    event = F.when(F.struct(*order) == F.col("_first"), "NEW").when(F.col(content).eqNullSafe(F.col("_previous")), "UNCHANGED").otherwise("UPDATED")
+    rows = with_previous(observations, key, content, order, bucket, "_previous", "_first")
+    event = F.when(F.col("_first"), "NEW").when(F.col(content).eqNullSafe(F.col("_previous")), "UNCHANGED").otherwise("UPDATED")
     return rows.withColumn("event", event).drop("_previous", "_first")
 
 

@@ -228,9 +228,9 @@ def report_texts(spark: SparkSession, folder: str) -> DataFrame:
 oracle("report_texts", f"""WITH {_candidates_sql('month')}, pk AS (SELECT period, list, count(DISTINCT key) AS k FROM c GROUP BY 1, 2),
 n AS (SELECT period, sum(CASE WHEN list = 'papers' THEN least(k, 100) ELSE 0 END)::BIGINT AS papers, sum(CASE WHEN list = 'blogs' THEN least(k, 30) ELSE 0 END)::BIGINT AS blogs, sum(k)::BIGINT AS candidates FROM pk GROUP BY 1),
 d AS (SELECT strftime(digest_date, '%Y-%m') AS period, count(DISTINCT digest_date) AS covered FROM stories GROUP BY 1),
-b AS (SELECT n.*, coalesce(covered, 0) AS covered, day(last_day((period || '-01')::DATE)) - coalesce(covered, 0) AS missing FROM n LEFT JOIN d USING (period))
+rb AS (SELECT n.*, coalesce(covered, 0) AS covered, day(last_day((period || '-01')::DATE)) - coalesce(covered, 0) AS missing FROM n LEFT JOIN d USING (period))
 SELECT period, period || ' AI 研究月報' AS title, period || ' 月整理 ' || array_to_string(list_filter([CASE WHEN papers > 0 THEN papers || ' 篇 AI 論文' END, CASE WHEN blogs > 0 THEN blogs || ' 篇值得看的技術文章' END], lambda s: s IS NOT NULL), '與')
-  || '。涵蓋 ' || covered || ' 天資料' || CASE WHEN missing > 0 THEN '，另有 ' || missing || ' 天缺資料' ELSE '，資料完整' END || '，共從 ' || candidates || ' 篇候選中篩選。' AS summary FROM b""")
+  || '。涵蓋 ' || covered || ' 天資料' || CASE WHEN missing > 0 THEN '，另有 ' || missing || ' 天缺資料' ELSE '，資料完整' END || '，共從 ' || candidates || ' 篇候選中篩選。' AS summary FROM rb""")
 
 
 @query

@@ -127,7 +127,7 @@ def enriched(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "translations_zh").groupBy("story_id").agg(F.max(F.struct("row_id", "title_zh", "model")).alias("t"))
     c = table(spark, folder, "source_config").select(canonical_name(F.col("source_id")).alias("source"), "source_name", "kind")
     s = table(spark, folder, "stories").select("row_id", "story_id", canonical_name(F.col("primary_link")["source_id"]).alias("source"))
-    return s.join(t, "story_id", "left").join(F.broadcast(c), "source", "left").select("row_id", F.col("t.title_zh").alias("title_zh"), F.col("t.model").alias("model"), "source_name", "kind")
+    return s.join(t, "story_id", "left").join(c, "source", "left").select("row_id", F.col("t.title_zh").alias("title_zh"), F.col("t.model").alias("model"), "source_name", "kind")
 
 
 oracle("enriched", f"""WITH t AS (SELECT * FROM translations_zh QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY row_id DESC) = 1)
@@ -158,7 +158,7 @@ def state_transitions(spark: SparkSession, folder: str) -> DataFrame:
     from tidewright.operators.state import with_previous
 
     e = table(spark, folder, "events").select("user_id", "event_type", "ts", "event_id")
-    rows = with_previous(e, "user_id", "event_type", ["ts", "event_id"], F.to_date("ts"), "before")
+    rows = with_previous(e, "user_id", "event_type", ["ts", "event_id"], F.to_date("ts"), "before", "first")
     return rows.where(F.col("before").isNotNull()).groupBy("before", "event_type").agg(F.count("*").alias("n"))
 
 

@@ -34,10 +34,12 @@ def get_spark(app: str = "tidewright", cpus: int | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a local one only where none is set (tests)."""
+    """Use the cluster's shared checkpoint folder; make a local one only where none is set and all runs on this machine (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewright-checkpoint-"))
 
 

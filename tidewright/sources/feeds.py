@@ -136,3 +136,51 @@ def html_list(pages: DataFrame, shortest_title: int = 5) -> DataFrame:
     first = found.groupBy("source_id", "page", "at").agg(F.min(F.struct("place", "title", "time")).alias("f"))
     rows = first.select("source_id", F.col("at").alias("url"), F.col("f.title").alias("title"), F.col("f.time").alias("t"))
     return _items(rows, F.col("t"), F.lit(None).cast("string"), "blog", [F.col("title").alias("extracted_title"), F.col("t").alias("extracted_date_raw")])
+
+
+def _listed(name: str, schema: str) -> Column:
+    """The entries of a payload that is an array, or an object with an array of that name."""
+    return F.from_json(F.when(F.ltrim("payload").startswith("["), F.col("payload")).otherwise(F.get_json_object("payload", f"$.{name}")), schema)
+
+
+def daily_papers(payloads: DataFrame, base: str = "https://arxiv.org/abs/") -> DataFrame:
+    """Daily lists of papers: an array or an object with ``papers``; an entry may be nested in ``paper``. Entries without title or identifier give no rows."""
+    paper = "struct<id string, paperId string, title string, publishedAt string, summary string, authors string>"
+    entry = f"array<struct<paper {paper}, id string, paperId string, title string, publishedAt string, summary string, authors string, upvotes int>>"
+    rows = payloads.select("source_id", F.explode(_listed("papers", entry)).alias("p"))
+    pick = lambda name: F.when(F.col("p.paper").isNotNull(), F.col(f"p.paper.{name}")).otherwise(F.col(f"p.{name}"))
+    some = lambda c: F.nullif(c, F.lit(""))
+    number = F.coalesce(some(pick("id")), some(pick("paperId")))
+    rows = rows.select("source_id", F.concat(F.lit(base), number).alias("url"), pick("title").alias("title"), F.coalesce(pick("publishedAt"), F.col("p.publishedAt")).alias("at"), number.alias("number"), pick("summary").alias("summary"), F.coalesce("p.upvotes", F.lit(0)).alias("upvotes"))
+    return _items(rows, F.col("at"), F.lit(None).cast("string"), "paper", [F.col("number").alias("arxiv_id"), "upvotes", F.col("summary").alias("abstract"), F.lit(True).alias("from_hf_daily_papers"), (F.col("upvotes") > 0).alias("is_trending")])
+
+
+def code_papers(payloads: DataFrame, base: str = "https://paperswithcode.com/paper/") -> DataFrame:
+    """Papers of a list that names their code: an array or an object with ``results``."""
+    entry = "array<struct<id string, title string, url_abs string, published string, repository_url string, proceeding string, arxiv_id string, abstract string>>"
+    rows = payloads.select("source_id", F.explode(_listed("results", entry)).alias("p"))
+    place = F.coalesce(F.nullif("p.url_abs", F.lit("")), F.nullif("p.id", F.lit("")))
+    rows = rows.select("source_id", F.when(place.startswith("http"), place).otherwise(F.concat(F.lit(base), place)).alias("url"), F.col("p.title").alias("title"), "p")
+    coded = F.coalesce(F.col("p.proceeding") != "", F.lit(False)) | F.coalesce(F.col("p.repository_url") != "", F.lit(False))
+    return _items(rows, F.col("p.published"), F.lit(None).cast("string"), "paper", [F.col("p.id").alias("paper_id"), coded.alias("has_code"), F.col("p.repository_url").alias("repository_url"), F.substring("p.abstract", 1, 500).alias("abstract"), F.lit(True).alias("from_papers_with_code")])
+
+
+# Names of meta tags and keys of structured data that hold dates, the surest first.
+META_DATES = ("article:published_time", "og:published_time", "datePublished", "date", "pubdate")
+DATA_DATES = ("datePublished", "dateCreated", "dateModified")
+
+
+def page_date(html: Column) -> Column:
+    """(raw, method, confidence) of a page's date: its time element, else a meta tag, else structured data, else a date in the text."""
+    quoted = r"""["']([^"']+)["']"""
+    first = lambda *patterns: F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
+    time = first(rf"(?is)<time\b[^>]*\bdatetime\s*=\s*{quoted}")
+    meta = first(*[p for name in META_DATES for p in (rf"(?is)<meta\b[^>]*(?:property|name|itemprop)\s*=\s*[\"']{name}[\"'][^>]*\bcontent\s*=\s*{quoted}", rf"(?is)<meta\b[^>]*\bcontent\s*=\s*{quoted}[^>]*(?:property|name|itemprop)\s*=\s*[\"']{name}[\"']")])
+    data = {name: first(rf'(?is)<script\b[^>]*application/ld\+json[^>]*>(?:(?!</script>).)*"{name}"\s*:\s*"([^"]+)"') for name in DATA_DATES}
+    text = first(r"(?s)(?:^|>)[^<>]*?\b(\d{4}-\d{2}-\d{2})\b", r"(?s)(?:^|>)[^<>]*?\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}, \d{4})\b")
+    later = F.coalesce(data["dateCreated"], data["dateModified"])
+    raw = F.coalesce(time, meta, data["datePublished"], later, text)
+    structured = F.coalesce(data["datePublished"], later)
+    method = F.when(time.isNotNull(), "time").when(meta.isNotNull(), "meta").when(structured.isNotNull(), "json_ld").when(text.isNotNull(), "text").otherwise("none")
+    sure = time.isNotNull() | meta.isNotNull() | data["datePublished"].isNotNull()
+    return F.struct(raw.alias("raw"), method.alias("method"), F.when(sure, "high").when(raw.isNotNull(), "medium").otherwise("low").alias("confidence"))
