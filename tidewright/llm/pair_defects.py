@@ -425,8 +425,9 @@ def sources(stories: DataFrame) -> DataFrame:
 def _hashed_pieces(text: Column) -> Column:
     """The hashes of :func:`pieces` as an expression."""
     words = F.trim(F.regexp_replace(F.lower(text), r"[^a-zà-ÿ0-9]+", " "))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(words) - PIECE + 1))
-    return F.when(words != "", F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.substring(words, k, F.lit(PIECE))))))
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - PIECE + 1)), lambda k: F.xxhash64(F.substring(w, k, F.lit(PIECE))))
+    # the array binds the words, which would else be worked out again for every piece
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.array(words), lambda w: w != ""), cut)))
 
 
 def overlaps(pairs: DataFrame, stories: DataFrame) -> DataFrame:
