@@ -37,8 +37,8 @@ from tidewright.functions.text import canonical_name
 from tidewright.session import cut_lineage, written
 
 ORDERS = (1, 2, 3, 5, 8)
-#: log2 of the buckets per order, each with one context: 60 MB of counts and check values in all.
-BITS = (14, 16, 18, 20, 20)
+#: log2 of the buckets per order, each with one context: 22 MB of counts and check values in all.
+BITS = (14, 16, 18, 19, 19)
 #: A context decides if it was seen so often apart from the value itself.
 EVIDENCE = 8
 #: A threshold must leave below it so many more of the cut than twice the uncut values (as shares).
@@ -181,9 +181,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((tbl, row, source, tbl, False, _same(text, title), text))
                 continue
             cut, value = json_cut(text)
-            # a row of its own, so that a readable record without any string still counts as a text
-            out.append((tbl, row, source, "raw_json", cut, False, None))
-            out += [(tbl, row, source, key, False, _same(part, title), part) for key, part in strings_in(value)]
+            # names, addresses and numbers, without any blank, end anywhere: nothing but a mark tells that they were cut
+            parts = [(key, part) for key, part in strings_in(value) if _PROSE.search(part.strip()) or part.endswith((".", "…", "]", ")", ";", "\ufffd"))]
+            if cut or not parts:
+                # a readable record without any text still counts
+                out.append((tbl, row, source, "raw_json", cut, False, None))
+            out += [(tbl, row, source, key, False, _same(part, title), part) for key, part in parts]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_VALUES), _VALUES, strict=True)], schema=_VALUES)
 
 
@@ -277,11 +280,12 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(values: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per order and bucket the check value of the context kept there (-1: none) and how many texts end after it. Both
-    tables are on the driver; their size is bounded by ``BITS``."""
+    """Per order and bucket the check value of the context kept there and how many texts end after it (0: none is kept). Both
+    tables are on the driver; their size is bounded by ``BITS``. Counts are added up as whole numbers of 64 bits; the tables hold
+    them as floats, near enough for log-odds at any size."""
     counted = values.mapInArrow(_count_ends, "o int, b int, f bigint, n bigint, m bigint").groupBy("o", "b", "f").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     kept = counted.groupBy("o", "b").agg(F.max(F.struct((F.col("n") + F.col("m")).alias("w"), "n", "f")).alias("k")).select("o", "b", F.col("k.f").alias("f"), F.col("k.n").alias("n")).toArrow()
-    checks, ends = [np.full(1 << b, -1, dtype=np.int64) for b in BITS], [np.zeros(1 << b, dtype=np.int64) for b in BITS]
+    checks, ends = [np.zeros(1 << b, dtype=np.uint32) for b in BITS], [np.zeros(1 << b, dtype=np.float32) for b in BITS]
     o, b = kept.column("o").to_numpy(), kept.column("b").to_numpy()
     for k in range(len(ORDERS)):
         checks[k][b[o == k]], ends[k][b[o == k]] = kept.column("f").to_numpy()[o == k], kept.column("n").to_numpy()[o == k]
@@ -310,7 +314,7 @@ def _count_goings_on(wanted) -> object:
 def goings_on(values: DataFrame, wanted) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Per order and bucket how often texts go on after the context kept there, and how often inside a word."""
     found = values.mapInArrow(_count_goings_on(wanted), "o int, b int, n bigint, m bigint").groupBy("o", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
-    n, m = ([np.zeros(1 << b, dtype=np.int64) for b in BITS] for _ in range(2))
+    n, m = ([np.zeros(1 << b, dtype=np.float32) for b in BITS] for _ in range(2))
     o, b = found.column("o").to_numpy(), found.column("b").to_numpy()
     for k in range(len(ORDERS)):
         n[k][b[o == k]], m[k][b[o == k]] = found.column("n").to_numpy()[o == k], found.column("m").to_numpy()[o == k]
@@ -348,8 +352,7 @@ def _score(model) -> object:
             for row, (bare, marked) in enumerate(found):
                 head = (tables[row], ids[row], sources[row], fields[row])
                 if not bare:
-                    if fields[row] == "raw_json" or tables[row] != "items":
-                        rows.append((*head, "none", cuts[row], True, None, None))
+                    rows.append((*head, "none", cuts[row], True, None, None))
                     continue
                 prose = bool(_PROSE.search(bare)) and not _PLACEHOLDER.match(bare)
                 hanging = bool(midword[k]) and not _COMPLETE_URL.search(bare[-200:])
@@ -373,7 +376,9 @@ def scored_values(texts: DataFrame) -> DataFrame:
     # JSON is read once; the three passes of the model see a narrow table of texts
     values = written(texts.mapInArrow(_read, "tbl string, row_id bigint, source string, field string, cut boolean, title boolean, text string"))
     checks, ends = contexts(values.select("text"))
-    goes, within = goings_on(values.select("text"), context.broadcast(checks))
+    wanted = context.broadcast(checks)
+    goes, within = goings_on(values.select("text"), wanted)
+    wanted.destroy()
     return cut_lineage(values.mapInArrow(_score(context.broadcast((checks, ends, goes, within))), _SCORED))
 
 
