@@ -3,6 +3,7 @@
 import base64
 import itertools
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -108,3 +109,39 @@ def test_descends_only_where_needed():
     at = MARKDOWN.encode().index(b"# not a heading")
     assert marks.get(at, splitting.LINE) >= splitting.LINE  # fences hide headings
     assert marks[MARKDOWN.encode().index(b"## Sub")] == 2
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    """Pre-tokens of one hash but other bytes get their own ids."""
+    tool = bpe.Encoder.load()
+    texts = ["zqxjkvbp wvutsrqz zqxjkvbp", "longerzqxjkvbpq longerwvutsrqzq"]
+    plain = tool.encode(pa.array(texts)).to_pylist()
+    true = bpe._equal
+    words = bpe._words(np.frombuffer(b"abcdefghijabcdefgXij" + b"\0" * 8, dtype=np.uint8))
+    assert true(words, np.array([0, 0]), np.array([10, 0]), np.array([10, 5]), np.array([10, 5])).tolist() == [False, True]
+    real = np.unique
+    monkeypatch.setattr(bpe.np, "unique", lambda x, **k: real(np.zeros_like(x) if k.get("return_inverse") else x, **k))  # all in one group
+    assert bpe.Encoder.load().encode(pa.array(texts)).to_pylist() == plain
+
+
+def test_lists_are_nodes_with_what_is_indented_below_them():
+    text = b"Intro\n- first\n  - inner a\n  - inner b\n\n    more on b\n- second\n<ul><li>x<ul><li>y</li></ul></li></ul>\n"
+    depth = splitting.boundaries(text)
+    at = lambda piece: depth[text.index(piece)]
+    assert at(b"- first") == at(b"- second") == splitting.LINE < at(b"  - inner a") == at(b"  - inner b") < at(b"    more on b") < splitting.SENTENCE
+    assert splitting.LINE < at(b"<li>x") < at(b"<li>y")
+    # a list that doesn't fit is cut between its items, not between what they hold
+    sizes = np.array([0, 3, 6, 9, 12, 15])
+    depths = np.array([splitting.LINE, splitting.LINE + 1, splitting.LINE + 1, splitting.LINE, splitting.LINE + 1])
+    assert splitting.spans(np.arange(5), depths, sizes, 9) == [(0, 3), (3, 5)]
+    # all but the first piece leave room for what they repeat
+    assert splitting.spans(np.arange(4), np.full(4, splitting.LINE), np.array([0, 5, 10, 15, 20]), 10, 5) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_many_fences_stay_linear():
+    import time
+
+    text = b"```\ncode\n\nmore\n```\n\n# Head\n\n" * 20_000
+    began = time.time()
+    found = splitting.boundaries(text)
+    assert time.time() - began < 10 and len(found) > 60_000

@@ -61,6 +61,20 @@ def _hashes(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
         at, left = at[longer] + 8, left[longer] - 8
 
 
+def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` on are those from ``b`` on, eight a round."""
+    same = size_a == size_b
+    open_ = np.flatnonzero(same & (a != b))
+    a, b, left = a[open_], b[open_], size_a[open_]
+    while len(open_):
+        mask = _MASK[np.minimum(left, 8)]
+        equal = (words[a] & mask) == (words[b] & mask)
+        same[open_[~equal]] = False
+        further = np.flatnonzero(equal & (left > 8))
+        open_, a, b, left = open_[further], a[further] + 8, b[further] + 8, left[further] - 8
+    return same
+
+
 class Encoder:
     """The vocabulary with its perfect hash and merges."""
 
@@ -95,10 +109,13 @@ class Encoder:
         printable = _printable()
         special = {"<|endoftext|>"}
         vocabulary = {bytes(printable[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        merges = {}
+        merges, last = {}, -1
         for pair in model["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            merges[model["vocab"][left] << 16 | model["vocab"][right]] = model["vocab"][left + right]
+            made = model["vocab"][left + right]
+            if made <= last or max(model["vocab"][left], model["vocab"][right]) >= 1 << 16:
+                raise ValueError(f"{name}: merges must be listed by ascending id, of at most 16 bits")
+            merges[model["vocab"][left] << 16 | model["vocab"][right]], last = made, made
         return cls(vocabulary, merges)
 
     # pre-tokens
@@ -173,10 +190,13 @@ class Encoder:
         missed = np.flatnonzero(~hit)
         if not len(missed):
             return self.ids[slot], starts, counts
-        # distinct by content: hash and length find the groups, the bytes decide
+        # distinct by content: the hash finds the groups, then each member's bytes are compared with its group's
         view = memoryview(data)
         _, sample, group = np.unique(h[missed] ^ (lengths[missed].astype(np.uint64) << np.uint64(1)), return_index=True, return_inverse=True)
         sample = missed[sample]
+        other = np.flatnonzero(~_equal(words, starts[missed], starts[sample][group], lengths[missed], lengths[sample][group]))
+        group[other] = len(sample) + np.arange(len(other))
+        sample = np.append(sample, missed[other])
         merged = [self.merge(bytes(view[s : s + n])) for s, n in zip(starts[sample].tolist(), lengths[sample].tolist(), strict=True)]
         sizes = np.array([len(m) for m in merged], dtype=np.int64)
         pool, begins = np.concatenate(merged), np.cumsum(sizes) - sizes

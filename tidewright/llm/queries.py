@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_name
 from tidewright.llm import bpe, contributor_caps, entity_matching, packing, pair_defects, splitting, survivorship, titles, truncation
-from tidewright.session import table
+from tidewright.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,29 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(table(spark, folder, "documents"))
+
+
+@query
+def p8_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing: every text once, its pieces without gaps, no container above the capacity."""
+    assigned = cut_lineage(packing.packed(table(spark, folder, "documents")))
+    texts = assigned.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct("piece").alias("pieces"), F.sum("size").alias("sizes"), F.max(F.col("start") + F.col("size")).alias("end"))
+    held = texts.agg(F.count("*").alias("documents"), F.count_if(F.col("rows") != F.col("pieces")).alias("twice"), F.count_if(F.col("sizes") != F.col("end")).alias("gaps"))
+    full = packing.containers(assigned).agg(F.count_if(F.col("unused") < 0).alias("over"))
+    return held.join(full, F.lit(True))  # one row each
+
+
+ORACLE["p8_whole"] = "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS twice, 0::BIGINT AS gaps, 0::BIGINT AS over FROM documents"
+
+
+@query
+def p9_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts put together again from their pieces without what these repeat, and whether every piece keeps to the size."""
+    cut = splitting.pieces(table(spark, folder, "documents"))
+    own = F.struct("piece", F.substring("text", F.col("overlap") + 1, F.length("text")).alias("own"))
+    texts = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("p"), F.max("tokens").alias("most"))  # a group is one text
+    whole = F.when(F.get("p", F.lit(0))["own"].isNotNull(), F.array_join(F.transform("p", lambda x: x["own"]), ""))
+    return texts.select("doc_id", F.md5(whole).alias("digest"), F.length(whole).cast("bigint").alias("n"), (F.col("most") <= splitting.LIMIT).alias("within"))
+
+
+ORACLE["p9_whole"] = "SELECT doc_id, md5(text) AS digest, length(text) AS n, true AS within FROM documents"
