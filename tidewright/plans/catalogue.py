@@ -18,4 +18,4 @@ def oracle(name: str, sql: str) -> None:
     ORACLE[name] = sql
 
 
-from tidewright.plans import answers, audit, items, payloads, ranking, reader, scalars, stories, timestamps, views  # noqa: E402, F401
+from tidewright.plans import answers, audit, collecting, items, payloads, ranking, reader, scalars, stories, timestamps, views  # noqa: E402, F401
