@@ -129,6 +129,34 @@ def test_readers(spark):
     assert [(r.url, r.title, str(r.published_at)) for r in feeds.html_list(df).collect()] == [("https://x.example/a", "First article", "2025-06-03 00:00:00")]
 
 
+def test_pages_without_articles(spark):
+    page = """<div class="site"><div class="post-card"><h2><a href="/one">The first entry</a></h2><div><p class="meta">short</p><p>What the first entry is about, at some length.</p></div><time datetime="2025-01-02"></time></div>
+    <div class="post-card"><a href="/two"><img src="x"></a><a href="/two" title="The second entry"></a><p>Too short</p></div></div>"""
+    df = spark.createDataFrame([("s", "https://x.example/list", page)], "source_id string, url string, payload string")
+    got = sorted((r.url, r.title, str(r.published_at), json.loads(r.raw_json).get("description")) for r in feeds.html_list(df).collect())
+    assert got == [("https://x.example/one", "The first entry", "2025-01-02 00:00:00", "What the first entry is about, at some length."), ("https://x.example/two", "The second entry", "None", None)]
+
+
+def test_primary_category_comes_first(spark):
+    feed = ATOM.replace('<category term="cs"/>', '<category term="b"/><category term="a"/>', 1).replace("<author>", '<primary_category term="a"/><author>', 1)
+    (r,) = feeds.atom(spark.createDataFrame([("s", feed)], "source_id string, payload string")).collect()
+    assert json.loads(r.raw_json)["categories"] == ["a", "b", "cs"]
+
+
+def test_sinks(spark, tmp_path):
+    index = spark.createDataFrame([("weekly", "2025-W01", 1), ("weekly", "2025-W02", 2)], "report_type string, period string, n int")
+    entry = spark.createDataFrame([("weekly", "2025-W02", 9), ("weekly", "2025-W03", 3)], index.schema)
+    assert sorted((r.period, r.n) for r in sinks.index_entry(index, entry, ["report_type", "period"]).collect()) == [("2025-W01", 1), ("2025-W02", 9), ("2025-W03", 3)]
+    backups = spark.createDataFrame([("a", 1, "x"), ("a", 2, "z"), ("a", 2, "y"), ("b", None, "w")], "g string, at int, name string")
+    assert sorted(r.name for r in sinks.newest(backups, "g", "at", "name", 1).collect()) == ["w", "y"]
+    lines = sinks.prometheus(spark.createDataFrame([('a"b', None, 2)], "source string, kind string, n int"), "items_total", ["source", "kind"], "n")
+    assert [r.line for r in lines.collect()] == ['items_total{source="a\\"b",kind=""} 2']
+    rows = lambda days: spark.createDataFrame([(f"u{d}", datetime(2025, m, d)) for m, d in days], "url string, first_seen timestamp")
+    sinks.state(rows([(1, 1), (2, 2)]), str(tmp_path / "state"), 2)
+    sinks.state(rows([(2, 3)]), str(tmp_path / "state"), 2)  # replaces its month only
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "state")).collect()) == ["u1", "u3"]
+
+
 def test_archives_and_streams(spark, tmp_path):
     rows = [("a", "t", "2024-01-01"), ("b", "t", "2024-01-02")]
     df = spark.createDataFrame(rows, "story_id string, title string, d string").select("story_id", "title", F.to_date("d").alias("digest_date"))

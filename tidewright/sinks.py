@@ -13,10 +13,11 @@ def day_archive(stories: DataFrame, folder: str) -> None:
 
 
 def state(items: DataFrame, folder: str, files: int | None = None) -> None:
-    """The state of items by month of first sight, which retention and window queries prune by."""
+    """The state of items by month of first sight, which retention and window queries prune by. Writing some months again replaces
+    those only."""
     out = items.withColumn("month", F.date_format("first_seen", "yyyy-MM"))
     out = out.repartition(files, "month", F.pmod(F.xxhash64("url"), F.lit(16))) if files else out
-    out.write.mode("overwrite").partitionBy("month").parquet(folder)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
 
 
 def index_entry(index: DataFrame, entry: DataFrame, key: list[str]) -> DataFrame:
@@ -24,9 +25,9 @@ def index_entry(index: DataFrame, entry: DataFrame, key: list[str]) -> DataFrame
     return index.join(entry.select(*key).distinct(), key, "left_anti").unionByName(entry)
 
 
-def newest(rows: DataFrame, group: str, when: str, n: int) -> DataFrame:
-    """The newest ``n`` rows per group, for pruning pages, backups and snapshots."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.col(when).desc()))).where(F.col("_n") <= n).drop("_n")
+def newest(rows: DataFrame, group: str, when: str, last: str, n: int) -> DataFrame:
+    """The newest ``n`` rows per group, for pruning pages, backups and snapshots; of equally new ones those with the smaller ``last``."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.col(when).desc_nulls_last(), F.col(last).asc()))).where(F.col("_n") <= n).drop("_n")
 
 
 def prometheus(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ runs in parallel and apart from the network, and gives the item columns of ``ITE
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -44,11 +45,11 @@ def rss(payloads: DataFrame, kind: str = "blog") -> DataFrame:
 def atom(payloads: DataFrame, kind: str = "paper") -> DataFrame:
     """Atom feeds and Atom answers of paper interfaces; an alternate link wins over others."""
     link = "array<struct<_href string, _rel string, _type string>>"
-    schema = f"entry array<struct<id string, title string, updated string, published string, summary string, author array<struct<name string>>, link {link}, category array<struct<_term string>>>>"
+    schema = f"entry array<struct<id string, title string, updated string, published string, summary string, author array<struct<name string>>, link {link}, category array<struct<_term string>>, primary_category struct<_term string>>>"
     rows = payloads.select("source_id", F.explode(F.from_xml("payload", schema).getField("entry")).alias("e"))
     alternate = F.get(F.filter("e.link", lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
     rows = rows.select("source_id", F.coalesce(alternate, F.get("e.link", F.lit(0))["_href"], F.col("e.id")).alias("url"), F.col("e.title").alias("title"), "e")
-    return _items(rows, F.col("e.published"), F.col("e.updated"), kind, [F.col("title"), F.substring("e.summary", 1, 500).alias("abstract_snippet"), F.col("e.author.name").alias("authors"), F.array_distinct(F.col("e.category._term")).alias("categories")])
+    return _items(rows, F.col("e.published"), F.col("e.updated"), kind, [F.col("title"), F.substring("e.summary", 1, 500).alias("abstract_snippet"), F.col("e.author.name").alias("authors"), F.array_distinct(F.array_compact(F.concat(F.array("e.primary_category._term"), F.coalesce(F.col("e.category._term"), F.array())))).alias("categories")])
 
 
 def releases(payloads: DataFrame) -> DataFrame:
@@ -77,40 +78,71 @@ def notes(payloads: DataFrame, base: str = "https://openreview.net/forum?id=") -
     return _items(rows, iso(F.col("c")), iso(F.col("m")), "paper", [F.col("title"), F.substring("abstract", 1, 500).alias("abstract_snippet")])
 
 
+# Classes of elements that hold one article each, where a page has no article or list elements, and of texts that sum one up.
+CONTAINERS = re.compile(r"(?:^|[\s_-])(?:post|entry|article|card|news|story)(?:$|[\s_-])", re.I)
+SUMMARIES = re.compile(r"summary|excerpt|description|abstract", re.I)
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+
+
 class _Links(HTMLParser):
-    """Links of a page with their text, time and whether they stand in a frame of the page rather than its content."""
+    """Links of a page with their text, time, description and whether they stand in a frame of the page rather than its content.
+    A block is an article, a list item or an element with the class of a container; the innermost one counts."""
 
     FRAMES = ("nav", "header", "footer", "aside")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
-        self.frames, self.block, self.link, self.time = 0, -1, None, None
+        self.open: list[tuple[str, dict | None]] = []
+        self.frames, self.link, self.text = 0, None, None
+
+    def block(self) -> dict | None:
+        return next((b for _, b in reversed(self.open) if b is not None), None)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = dict(attrs)
-        self.frames += tag in self.FRAMES
-        if tag in ("article", "li"):
-            self.block, self.time = len(self.found), None
+        if tag not in VOID:
+            whole = tag in ("article", "li") or (tag in ("div", "section") and bool(CONTAINERS.search(given.get("class") or "")))
+            self.open.append((tag, {"links": [], "time": None, "about": None} if whole else None))
+            self.frames += tag in self.FRAMES
+        block = self.block()
         if tag == "a" and given.get("href"):
-            self.link = {"href": given["href"], "text": "", "frame": self.frames > 0, "time": self.time, "hint": given.get("title") or ""}
-        if tag == "time" and given.get("datetime"):
-            self.time = given["datetime"]
-            if self.link is None:
-                for one in self.found[self.block :] if self.block >= 0 else []:
-                    one["time"] = one["time"] or self.time
+            self.link = {"href": given["href"], "text": "", "frame": self.frames > 0, "time": block and block["time"], "about": block and block["about"], "hint": given.get("title") or ""}
+        if tag == "time" and given.get("datetime") and block is not None and block["time"] is None:
+            block["time"] = given["datetime"]
+            for one in block["links"]:
+                one["time"] = one["time"] or block["time"]
+        if self.text is None and (tag == "p" or SUMMARIES.search(given.get("class") or "")) and tag not in VOID:
+            self.text = (len(self.open), [])
 
     def handle_endtag(self, tag: str) -> None:
-        self.frames -= tag in self.FRAMES and self.frames > 0
         if tag == "a" and self.link is not None:
-            self.found.append(self.link | {"time": self.link["time"] or self.time})
+            block = self.block()
+            if block is not None:
+                self.link["time"], self.link["about"] = self.link["time"] or block["time"], self.link["about"] or block["about"]
+                block["links"].append(self.link)
+            self.found.append(self.link)
             self.link = None
-        if tag in ("article", "li"):
-            self.block, self.time = -1, None
+        if not any(t == tag for t, _ in self.open):
+            return
+        while self.open:
+            if self.text is not None and len(self.open) <= self.text[0]:
+                said, block = " ".join("".join(self.text[1]).split()), self.block()
+                self.text = None
+                if block is not None and block["about"] is None and len(said) > 20:
+                    block["about"] = said
+                    for one in block["links"]:
+                        one["about"] = one["about"] or said
+            name, _ = self.open.pop()
+            self.frames -= name in self.FRAMES and self.frames > 0
+            if name == tag:
+                break
 
     def handle_data(self, data: str) -> None:
         if self.link is not None:
             self.link["text"] += data
+        if self.text is not None:
+            self.text[1].append(data)
 
 
 def html_list(pages: DataFrame, shortest_title: int = 5) -> DataFrame:
@@ -128,14 +160,14 @@ def html_list(pages: DataFrame, shortest_title: int = 5) -> DataFrame:
                 for k, link in enumerate(parser.found):
                     title = " ".join((link["text"].strip() or link["hint"]).split())
                     if not link["frame"] and len(title) >= shortest_title:
-                        rows.append((source, base, k, urljoin(base or "", link["href"]), link["href"], title, link["time"]))
-            yield pd.DataFrame(rows, columns=["source_id", "page", "place", "url", "href", "title", "time"])
+                        rows.append((source, base, k, urljoin(base or "", link["href"]), link["href"], title, link["time"], link["about"]))
+            yield pd.DataFrame(rows, columns=["source_id", "page", "place", "url", "href", "title", "time", "about"])
 
-    found = pages.select("source_id", "url", "payload").mapInPandas(parse, "source_id string, page string, place int, url string, href string, title string, time string")
+    found = pages.select("source_id", "url", "payload").mapInPandas(parse, "source_id string, page string, place int, url string, href string, title string, time string, about string")
     found = found.where(~U.is_navigation(F.col("href"))).withColumn("at", U.canonical(F.col("url")))
-    first = found.groupBy("source_id", "page", "at").agg(F.min(F.struct("place", "title", "time")).alias("f"))
-    rows = first.select("source_id", F.col("at").alias("url"), F.col("f.title").alias("title"), F.col("f.time").alias("t"))
-    return _items(rows, F.col("t"), F.lit(None).cast("string"), "blog", [F.col("title").alias("extracted_title"), F.col("t").alias("extracted_date_raw")])
+    first = found.groupBy("source_id", "page", "at").agg(F.min(F.struct("place", "title", "time", "about")).alias("f"))
+    rows = first.select("source_id", F.col("at").alias("url"), F.col("f.title").alias("title"), F.col("f.time").alias("t"), F.col("f.about").alias("about"))
+    return _items(rows, F.col("t"), F.lit(None).cast("string"), "blog", [F.col("title").alias("extracted_title"), F.col("t").alias("extracted_date_raw"), F.substring("about", 1, 500).alias("description")])
 
 
 def _listed(name: str, schema: str) -> Column:
