@@ -36,6 +36,8 @@ from tidewright.session import cut_lineage
 DAY_US, QUARTER_US = 86_400_000_000, 900_000_000
 #: Lags that are told apart, in quarters of an hour, and the first year of the histories of offsets.
 EARLIEST, LATEST, SINCE = -96, 192, 2005
+#: What speaks against a history that is not one of the common ones, as log-probability.
+RARE = 4.0
 # Zones whose names are preferred among those with the same clock.
 COMMON = ("UTC", "America/Los_Angeles", "America/Denver", "America/Chicago", "America/New_York", "America/Sao_Paulo", "Europe/London", "Europe/Paris", "Europe/Athens", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney")
 #: Plausible years of a bare number: 1990-01-01 to 2050-01-01 in seconds.
@@ -208,10 +210,17 @@ def lag_profile(known: DataFrame) -> list[float]:
     seen = {r.q: r.n for r in known.select(lag.alias("q")).where(F.col("q").between(EARLIEST, LATEST - 1)).groupBy("q").agg(F.count("*").alias("n")).collect()}  # as many rows as quarters
     if sum(seen.values()) < 100:
         return [-8.0 if q < 0 else -q / 400 for q in range(EARLIEST, LATEST)]
-    counts = [seen.get(q, 0) + 0.5 for q in range(EARLIEST, LATEST)]
+    counts = [_smoothed(seen, q) + 0.05 for q in range(EARLIEST, LATEST)]
     return [math.log(c / sum(counts)) for c in counts]
 
 
+def _smoothed(seen: dict[int, int], at: int, reach: int = 8) -> float:
+    """The count around a lag, near ones weighing more, on its own side of zero only: the border between order and violation stays sharp."""
+    near = [q for q in range(at - reach, at + reach + 1) if (q < 0) == (at < 0)]
+    weight = {q: 1 - abs(q - at) / (reach + 1) for q in near}
+    return sum(seen.get(q, 0) * w for q, w in weight.items()) / sum(weight.values())
+
+
 def estimate_zones(resolved: DataFrame, candidates: tuple[str, ...] | list[str], profile: list[float]) -> DataFrame:
     """(source, tz, violations, seen): per source the history of offsets under which its zoneless local times fit the
     times of receipt best, a violation of the order (published after receipt) and every lag counting by how often they
@@ -230,6 +239,8 @@ def estimate_zones(resolved: DataFrame, candidates: tuple[str, ...] | list[str],
     chance = F.when(lag.between(EARLIEST, LATEST - 1), F.get(known, lag - EARLIEST)).otherwise(min(profile))
     by_offset = counted.join(days, "day").groupBy("source", "day", "o").agg(F.sum(chance * F.col("n")).alias("fit"), F.sum(F.when(lag < 0, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("seen"), F.first("zones").alias("zones"))
     per_zone = by_offset.select("source", F.explode("zones").alias("tz"), "fit", "violations", "seen").groupBy("source", "tz").agg(F.round(F.sum("fit"), 6).alias("fit"), F.sum("violations").alias("violations"), F.sum("seen").alias("seen"))
+    # few sources keep a clock of their own: without evidence a common one is meant
+    per_zone = per_zone.withColumn("fit", F.when(F.col("tz").isin(*COMMON), F.col("fit")).otherwise(F.col("fit") - RARE))
     order = F.struct((-F.col("fit")).alias("f"), "violations", (~F.col("tz").isin(*COMMON)).alias("rare"), "tz", "seen")
     return per_zone.groupBy("source").agg(F.min(order).alias("best")).select("source", "best.tz", "best.violations", "best.seen")
 
