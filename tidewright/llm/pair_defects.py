@@ -9,8 +9,8 @@ training is a sample of at most ``SAMPLE`` pairs, drawn by hash; its own suspici
 round by pair features and a second, of each half by a model of the other. A fifth of the pairs is held out, with refusals of parts that training never sees, to calibrate one threshold per
 defect. Applying the model covers every pair and every whole text, a batch as one array.
 
-'empty' needs no model: it is an exact check for null, blank or placeholder text, and goes first, then 'copy'. Where several other defects
-apply, the one that exceeds its threshold most is given. Overlap is counted against every record
+'empty' needs no model: it is an exact check for null, blank or placeholder text, and goes first, then 'copy'; 'truncated' goes last. Of the
+others the one that exceeds its threshold most is given. Overlap is counted against every record
 of the story, by joins of hashed pieces, so that a copy of any of them is seen. A pair whose story is missing or has no
 text can't be a copy. An empty table gives an empty result; repeated rows each count; more columns change nothing.
 """
@@ -385,6 +385,8 @@ def calibrate(given: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 #: Log-odds from which a pair is left out of the base of training: what is sound lies far below.
 SUSPICIOUS = -2.0
+#: At least this share of the base stays, however unsure a model of few pairs is.
+MOST_SOUND = 0.7
 
 
 def _unsuspected(model: Model, pairs: list[tuple[str, str, str, str]], limit: float) -> list[tuple[str, str, str, str]]:
@@ -394,7 +396,9 @@ def _unsuspected(model: Model, pairs: list[tuple[str, str, str, str]], limit: fl
     t, s, st, ss = map(list, zip(*pairs, strict=True))
     known = [pieces(a) | pieces(b) for a, b in zip(st, ss, strict=True)]
     given = features(t, s, np.array([contained(x, k) for x, k in zip(t, known, strict=True)]), np.array([contained(x, k) for x, k in zip(s, known, strict=True)]))
-    return [p for p, x in zip(pairs, model.scores(given).max(axis=1), strict=True) if x < limit]
+    worst = model.scores(given).max(axis=1)
+    limit = max(limit, float(np.quantile(worst, MOST_SOUND)))
+    return [p for p, x in zip(pairs, worst, strict=True) if x <= limit]
 
 
 def fit(pairs: list[tuple[str, str, str, str]]) -> Model:
@@ -471,6 +475,7 @@ def defects(translations: DataFrame, stories: DataFrame, sample: int = SAMPLE) -
                 rows = features([t or "" for t in title], [s or "" for s in summary], batch.column("in_title").to_numpy(), batch.column("in_summary").to_numpy())
                 over = model.value.scores(rows) - model.value.limits
                 over[over[:, COPY] >= 0, COPY] = np.inf  # what stands in the source is nothing else
+                over[(over[:, :-1] >= 0).any(axis=1), -1] = -np.inf  # where a text stops matters only in one that is none of the others
                 first = np.where(none, 0, np.where((over >= 0).any(axis=1), over.argmax(axis=1) + 1, -1))
                 hit = np.flatnonzero(first >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in hit], type=pa.int64()), pa.array([("empty", *LABELS)[first[k]] for k in hit], type=pa.string())], schema=_RESULT)
