@@ -190,7 +190,16 @@ oracle("fulltext_normal", r"""SELECT doc_id, length(t)::INT AS n, md5(t) AS dige
 
 @query
 def latex_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "items").where(F.col("title").rlike(r"[\\$<]")).select("row_id", cleanup.latex_decoded(F.col("title")).alias("title"))
+    return table(spark, folder, "items").select("row_id", cleanup.latex_decoded(F.col("title")).alias("title"))
+
+
+_LATEX = "title"
+for _form, _to in (
+    (r"\\(?:textbf|textit|textsc|texttt|emph|mathrm|mathbf|mathcal|text)\{([^{}]*)\}", r"\1"), (r"\\['`^\"~=.]\{?([A-Za-z])\}?", r"\1"), (r"\\alpha\b", "α"), (r"\\beta\b", "β"), (r"\\gamma\b", "γ"), (r"\\lambda\b", "λ"),
+    (r"\\times\b", "×"), (r"\\infty\b", "∞"), (r"\\to\b", "→"), (r"\\leq\b", "≤"), (r"\\geq\b", "≥"), (r"\$([^$]*)\$", r"\1"), (r"<[^>]+>", ""), (r"\s+", " "),
+):
+    _LATEX = f"regexp_replace({_LATEX}, {q(_form)}, {q(_to)}, 'g')"
+oracle("latex_titles", f"SELECT row_id, trim({_LATEX}) AS title FROM items")
 
 
 @query
