@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 
@@ -57,6 +58,47 @@ def test_counts_beyond_32_bits(spark):
     assert out.to_pylist()[0]["score"] in (None, float("-inf"))
 
 
+def test_suffixes_are_hashed_only_where_asked():
+    """The places asked for have the hashes they have among all places; the rest is not worked out."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab 0123é語") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    s = tr.Suffixes(texts)
+    assert not {"hashes", "checks"} & set(vars(s))
+    places = np.concatenate([s.ends, tr._places(s, texts)])
+    buckets, checks = s.hashes, s.checks
+    for o, bucket, check in s.at(places):
+        deep = s.depth[places] >= tr.ORDERS[o]
+        assert deep.any() and (bucket == buckets[tr.ORDERS[o]][places])[deep].all() and (check == checks[tr.ORDERS[o]][places])[deep].all()
+
+
+def test_ends_agree_with_whole_patterns():
+    """The quick looks at the last signs and the last word say what patterns searched in the whole end say."""
+    hanging = re.compile(r"(?:^|[\s(])(?:" + tr._HANGING.pattern + r")$", re.I)
+    signs = re.compile("[" + re.escape(tr._OPEN_SIGN) + "]$")
+    rng = random.Random(9)
+    parts = ["the", "The", "e.g.", "via", "per", "model", "(", ")", "[", "]", " ", "  ", "\n", "|", "-", ":", "| a |", "|---|", "&amp", "&#12", "<b", "](x", ".", "...", "…", "…]", "[truncated", "[more]", "&hellip;", "(...)", "、", "語", "\u00a0", "```", "K", "ſee"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        bare, marked = tr.stripped(text)
+        tail = text.rstrip()[-24:]
+        sure, mark = tr._SURE_MARK.search(tail), tr._MARK.search(tail)
+        assert (bare, marked) == (tail[: (sure or mark).start()].rstrip() if sure or mark else text.rstrip(), bool(sure)) or len(text.rstrip()) > 24
+        if bare and "```" not in bare:
+            line = bare[-400:].split("\n")[-1]
+            ends = [p.search(bare[-120:]) for p in (tr._BROKEN_END, hanging, signs)] + [tr._EMPTY_TABLE.search(bare[-300:])]
+            assert tr.open_ended(bare) == (any(ends) or _left_open(line)), bare
+
+
+def _left_open(line):
+    depth = {}
+    for sign in line:
+        if sign in tr._BRACKETS:
+            depth[tr._BRACKETS[sign]] = max(0, depth.get(tr._BRACKETS[sign], 0) - 1)
+        elif sign in tr._BRACKETS.values():
+            depth[sign] = depth.get(sign, 0) + 1
+    return any(depth.values())
+
+
 def test_open_ends():
     for end in ("works with older versions, e.g.", "see [docs](https://code.exam", "```\npip install x", "fixed a crash in the (#4", "one of", "and &am", "so <a hre", "，", "Thanks to @"):
         assert tr.open_ended("Text. " + end), end

@@ -23,7 +23,6 @@ empty table gives an empty result; repeated rows each count; more columns in the
 from __future__ import annotations
 
 import json
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,11 +50,11 @@ _URL = re.compile(r"(https?://[^\s/]+/)[^\s)\]]+")
 _TAG = re.compile(r"#\w+")
 # Words after which a text can't end.
 _HANGING = re.compile(
-    r"(?:^|[\s(])(?:a|an|the|of|to|in|on|at|by|for|from|with|without|and|or|nor|but|as|than|that|which|whose|into|onto|between|because|"
-    r"while|whether|if|is|are|was|were|be|its|their|our|your|this|these|those|e\.g\.|i\.e\.|cf\.|vs\.|incl\.|see|via|per)$",
+    r"(?:a|an|the|of|to|in|on|at|by|for|from|with|without|and|or|nor|but|as|than|that|which|whose|into|onto|between|because|"
+    r"while|whether|if|is|are|was|were|be|its|their|our|your|this|these|those|e\.g\.|i\.e\.|cf\.|vs\.|incl\.|see|via|per)",
     re.I,
 )
-_OPEN_SIGN = re.compile(r"[,;:，；：、(（\[{「『《<@=+&/\\-]$")
+_OPEN_SIGN = ",;:，；：、(（[{「『《<@=+&/\\-"
 _BROKEN_END = re.compile(r"(?:&[A-Za-z]{1,8}|&#\w{0,6}|<[A-Za-z/][^<>]{0,80}|\]\([^)\s]*|\[[^\]\n]{0,60}\]\([^)]*)$")
 _EMPTY_TABLE = re.compile(r"\|[^\n]*\|\s*\n\s*\|[\s:|-]+\|?$")
 _SENTENCE_END = re.compile(r"(?:[A-Za-z)\]\"”’'%][.!?][\"”’')\]]*|[。！？][」』）)\"”]*)$")
@@ -65,6 +64,8 @@ _PROSE = re.compile(r"\s|[぀-ヿ㐀-鿿가-힯]")
 # What stands where a text is missing.
 _PLACEHOLDER = re.compile(r"^\W*(?:n/?a|none|null|nil|tbd|todo|untitled|無|无|略|空)?\W*$", re.I)
 _COMPLETE_URL = re.compile(r"https?://[^\s/]+/\S+$")
+_BRACKET = re.compile(r"[()（）\[\]「」『』《》]")
+_KANA, _HANGUL, _HAN = re.compile(r"[぀-ヿ]"), re.compile(r"[가-힯]"), re.compile(r"[一-鿿]")
 _BRACKETS = {")": "(", "）": "（", "]": "[", "」": "「", "』": "『", "》": "《"}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [pow(0x100000001B3, k, 1 << 64) for k in range(max(ORDERS))]
@@ -76,10 +77,11 @@ def stripped(text: str) -> tuple[str, bool]:
     if bare.endswith("\ufffd"):
         return bare.rstrip("\ufffd").rstrip(), True
     tail = bare[-24:]
-    found = _SURE_MARK.search(tail)
+    # without one of these signs no pattern can match
+    found = _SURE_MARK.search(tail) if "[" in tail or "(" in tail or tail.endswith(";") else None
     if found:
         return bare[: len(bare) - len(tail) + found.start()].rstrip(), True
-    found = _MARK.search(tail)
+    found = _MARK.search(tail) if tail.endswith(("...", "…", "⋯")) else None
     return (bare[: len(bare) - len(tail) + found.start()].rstrip(), False) if found else (bare, False)
 
 
@@ -94,22 +96,31 @@ def normal(text: str) -> str:
 
 def language(text: str) -> str:
     tail = text[-80:]
-    if re.search(r"[぀-ヿ]", tail):
+    if tail.isascii():
+        return "latin"
+    if _KANA.search(tail):
         return "ja"
-    if re.search(r"[가-힯]", tail):
+    if _HANGUL.search(tail):
         return "ko"
-    return "zh" if len(re.findall(r"[一-鿿]", tail)) * 4 > len(tail) else "latin"
+    return "zh" if len(_HAN.findall(tail)) * 4 > len(tail) else "latin"
 
 
 def open_ended(bare: str) -> bool:
     """Whether the end, already without a mark, can't be one."""
-    tail = bare[-120:]
-    if _BROKEN_END.search(tail) or _HANGING.search(tail) or _OPEN_SIGN.search(tail) or _EMPTY_TABLE.search(bare[-300:]):
+    if not bare:
+        return False
+    tail, last = bare[-120:], bare[-1]
+    if last in _OPEN_SIGN or (last in ":|-" and _EMPTY_TABLE.search(bare[-300:])):
+        return True
+    if ("&" in tail or "<" in tail or "](" in tail) and _BROKEN_END.search(tail):
+        return True
+    word = tail.split()[-1].rpartition("(")[2] if not last.isspace() else ""
+    if _HANGING.fullmatch(word):
         return True
     if bare.count("```") % 2:
         return True
     depth: dict[str, int] = {}
-    for sign in re.findall(r"[()（）\[\]「」『』《》]", re.split(r"\n", bare[-400:])[-1]):
+    for sign in _BRACKET.findall(bare[-400:].rpartition("\n")[2]):
         if sign in _BRACKETS:
             mate = _BRACKETS[sign]
             depth[mate] = max(0, depth.get(mate, 0) - 1)
@@ -181,28 +192,33 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((tbl, row, source, tbl, False, _same(text, title), text))
                 continue
             cut, value = json_cut(text)
+            other = None if title is None else _words(title)
             # names, addresses and numbers, without any blank, end anywhere: nothing but a mark tells that they were cut
             parts = [(key, part) for key, part in strings_in(value) if _PROSE.search(part.strip()) or part.endswith((".", "…", "]", ")", ";", "\ufffd"))]
             if cut or not parts:
                 # a readable record without any text still counts
                 out.append((tbl, row, source, "raw_json", cut, False, None))
-            out += [(tbl, row, source, key, False, _same(part, title), part) for key, part in parts]
+            out += [(tbl, row, source, key, False, _same(part, title, other), part) for key, part in parts]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_VALUES), _VALUES, strict=True)], schema=_VALUES)
 
 
 _WORD = re.compile(r"\w+")
 
 
-def _same(text: str, title: str | None) -> bool:
-    """Whether the text only repeats the record's title, as far as spelling and additions allow."""
+def _words(text: str) -> set[str]:
+    return set(_WORD.findall(text.casefold()))
+
+
+def _same(text: str, title: str | None, other: set[str] | None = None) -> bool:
+    """Whether the text only repeats the record's title, as far as spelling and additions allow. ``other``: the title's words, where they are known."""
     if not title or len(text) > 2 * len(title) + 40:
         return False
-    own, other = set(_WORD.findall(text.casefold())), set(_WORD.findall(title.casefold()))
+    own, other = _words(text), _words(title) if other is None else other
     return bool(own) and 2 * len(own & other) >= len(own | other)
 
 
 class Suffixes:
-    """Hashed suffixes of all positions of many texts, laid end to end."""
+    """Suffixes of many texts, laid end to end, hashed where they are asked for."""
 
     def __init__(self, texts: list[str]):
         joined = "\n\n".join(texts)
@@ -232,25 +248,51 @@ class Suffixes:
         if len(texts):
             for off in (0, 1, 2):
                 self.body[np.minimum(self.ends + off, len(self.codes) - 1)] = False
-        self.hashes, self.checks, running, at = {}, {}, np.zeros(len(self.codes), dtype=np.uint64), 0
-        for order in ORDERS:
-            for k in range(at, order):
-                running = running.copy()
+
+    @property
+    def hashes(self) -> dict[int, np.ndarray]:
+        return {ORDERS[o]: bucket for o, bucket, _ in self.everywhere()}
+
+    @property
+    def checks(self) -> dict[int, np.ndarray]:
+        return {ORDERS[o]: check for o, _, check in self.everywhere()}
+
+    @staticmethod
+    def _mixed(running: np.ndarray, o: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and check values of sums of codes."""
+        mixed = running >> np.uint64(29)
+        mixed ^= running
+        mixed *= _FACTOR
+        return (mixed >> np.uint64(64 - BITS[o])).view(np.int64), mixed.astype(np.uint32)
+
+    def at(self, places: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By order, the buckets and check values of the suffixes that end at some places; those longer than their text mean nothing."""
+        running, done = np.zeros(len(places), dtype=np.uint64), 0
+        for o, order in enumerate(ORDERS):
+            for k in range(done, order):
+                running += self.codes[np.maximum(places - k, 0)] * np.uint64(_POWERS[k])
+            done = order
+            yield o, *self._mixed(running, o)
+
+    def everywhere(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By order, those of all places."""
+        running, done = np.zeros(len(self.codes), dtype=np.uint64), 0
+        for o, order in enumerate(ORDERS):
+            for k in range(done, order):
                 running[k:] += self.codes[: len(self.codes) - k] * np.uint64(_POWERS[k])
-            at = order
-            mixed = (running ^ (running >> np.uint64(29))) * _FACTOR
-            self.hashes[order] = (mixed >> np.uint64(64 - BITS[ORDERS.index(order)])).astype(np.int64)
-            self.checks[order] = mixed.astype(np.uint32)
+            done = order
+            yield o, *self._mixed(running, o)
 
 
-_SIZE = 12_000
+#: Texts at once; where all their places are hashed, so few that the arrays stay in a CPU's cache, and places counted at once.
+_SIZE, _SMALL, _COUNTED = 12_000, 1_000, 1 << 20
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, bool]], list[str]]]:
+def _groups(batches: Iterator[pa.RecordBatch], size: int = _SIZE) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, bool]], list[str]]]:
     """Pieces of batches, their texts without marks of a cut (and whether the mark leaves no doubt), and those that aren't blank as the model sees them."""
     for batch in batches:
-        for at in range(0, batch.num_rows, _SIZE):
-            piece = batch.slice(at, _SIZE)
+        for at in range(0, batch.num_rows, size):
+            piece = batch.slice(at, size)
             found = [("", False) if text is None else stripped(text) for text in piece.column("text").to_pylist()]
             yield piece, found, [normal(text) for text, _ in found if text]
 
@@ -269,12 +311,12 @@ def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, texts in _groups(batches):
         s = Suffixes(texts)
         cuts = _places(s, texts)
-        for o, order in enumerate(ORDERS):
-            ends, falls = s.ends[s.depth[s.ends] >= order], cuts[s.depth[cuts] >= order]
-            at = np.concatenate([ends, falls])
-            codes = s.hashes[order][at].astype(np.uint64) << np.uint64(32) | s.checks[order][at]
-            unique, inverse = np.unique(codes, return_inverse=True)
-            n, both = np.bincount(inverse[: len(ends)], minlength=len(unique)), np.bincount(inverse, minlength=len(unique))
+        places, falls = np.concatenate([s.ends, cuts]), np.arange(2 * len(texts)) >= len(texts)
+        depth = s.depth[places]
+        for o, bucket, check in s.at(places):
+            deep = depth >= ORDERS[o]
+            unique, inverse = np.unique(bucket[deep].astype(np.uint64) << np.uint64(32) | check[deep], return_inverse=True)
+            n, both = np.bincount(inverse[~falls[deep]], minlength=len(unique)), np.bincount(inverse, minlength=len(unique))
             columns = [np.full(len(unique), o, dtype=np.int32), (unique >> np.uint64(32)).astype(np.int32), (unique & np.uint64(0xFFFFFFFF)).astype(np.int64), n.astype(np.int64), (both - n).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ENDS)
 
@@ -297,13 +339,26 @@ def _count_goings_on(wanted) -> object:
         """n: positions after which the text goes on; m: those of them inside a word."""
         checks = wanted.value
         n, m = ([np.zeros(1 << b, dtype=np.int64) for b in BITS] for _ in range(2))
-        for _, _, texts in _groups(batches):
+        met: list[list[np.ndarray]] = [[] for _ in ORDERS]
+        inner: list[list[np.ndarray]] = [[] for _ in ORDERS]
+
+        def add(total: np.ndarray, found: list[np.ndarray], least: int) -> None:
+            if sum(map(len, found)) > least:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
+                found.clear()
+
+        for _, _, texts in _groups(batches, _SMALL):
             s = Suffixes(texts)
-            for o, order in enumerate(ORDERS):
-                bucket = s.hashes[order]
-                at = s.body & (s.depth >= order) & (checks[o][bucket] == s.checks[order])
-                n[o] += np.bincount(bucket[at], minlength=len(n[o]))
-                m[o] += np.bincount(bucket[at & s.inside], minlength=len(m[o]))
+            for o, bucket, check in s.everywhere():
+                at = np.flatnonzero((checks[o][bucket] == check) & s.body & (s.depth >= ORDERS[o]))
+                known = bucket[at].astype(np.int32)
+                met[o].append(known)
+                inner[o].append(known[s.inside[at]])
+                add(n[o], met[o], _COUNTED)
+                add(m[o], inner[o], _COUNTED)
+        for o in range(len(ORDERS)):
+            add(n[o], met[o], 0)
+            add(m[o], inner[o], 0)
         for o in range(len(ORDERS)):
             at = np.flatnonzero(n[o])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), o, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(n[o][at]), pa.array(m[o][at])], schema=_GOES)
@@ -333,10 +388,10 @@ def _score(model) -> object:
 
         def odds(s: Suffixes, at: np.ndarray, own_end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             result, inside, best = np.full(len(at), np.nan), np.zeros(len(at), dtype=bool), np.full(len(at), -np.inf)
-            for o, order in enumerate(ORDERS):  # longer contexts overwrite
-                bucket = s.hashes[order][at]
+            for o, bucket, check in s.at(at):  # longer contexts overwrite
+                order = ORDERS[o]
                 e, g, w = np.maximum(ends[o][bucket] - own_end, 0), np.maximum(goes[o][bucket] - (1 - own_end), 0), within[o][bucket]
-                fits = (s.depth[at] >= order) & (e + g >= EVIDENCE) & (checks[o][bucket] == s.checks[order][at])
+                fits = (s.depth[at] >= order) & (e + g >= EVIDENCE) & (checks[o][bucket] == check)
                 result[fits] = np.log((e[fits] + 0.2) / (g[fits] + 1.0))
                 best[fits] = np.maximum(best[fits], result[fits])
                 if order > 2:
@@ -347,27 +402,32 @@ def _score(model) -> object:
             s = Suffixes(texts)
             natural, midword, best = odds(s, s.ends, 1) if texts else (np.zeros(0),) * 3
             synthetic, _, _ = odds(s, _places(s, texts), 0) if texts else (natural,) * 3
-            tables, ids, sources, fields, cuts, same = (piece.column(c).to_pylist() for c in ("tbl", "row_id", "source", "field", "cut", "title"))
-            rows, k = [], 0
+            cuts, same = (piece.column(c).to_pylist() for c in ("cut", "title"))
+            langs, sures, settled, ended, told = [], [], [], [], []
+            midword = midword.tolist()
             for row, (bare, marked) in enumerate(found):
-                head = (tables[row], ids[row], sources[row], fields[row])
                 if not bare:
-                    rows.append((*head, "none", cuts[row], True, None, None))
+                    langs.append("none"), sures.append(cuts[row]), settled.append(True)
                     continue
                 prose = bool(_PROSE.search(bare)) and not _PLACEHOLDER.match(bare)
-                hanging = bool(midword[k]) and not _COMPLETE_URL.search(bare[-200:])
-                sure = marked or (prose and not same[row] and (hanging or open_ended(bare)))
-                ended = _SENTENCE_END.search(bare[-12:])
-                settled = not prose or same[row] or bare.endswith("```")
-                rows.append((*head, language(bare), sure, settled, _number(best[k] if ended else natural[k]), _number(synthetic[k])))
-                k += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+                hanging = midword[len(told)] and not _COMPLETE_URL.search(bare[-200:])
+                langs.append(language(bare))
+                sures.append(marked or (prose and not same[row] and (hanging or open_ended(bare))))
+                settled.append(not prose or same[row] or bare.endswith("```"))
+                ended.append(_SENTENCE_END.search(bare[-12:]) is not None)
+                told.append(row)
+            scores = (_numbers(v, told, len(found)) for v in (np.where(np.array(ended, dtype=bool), best, natural), synthetic))
+            columns = [*(piece.column(c) for c in ("tbl", "row_id", "source", "field")), pa.array(langs, pa.string()), pa.array(sures, pa.bool_()), pa.array(settled, pa.bool_()), *scores]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return score
 
 
-def _number(value: float) -> float | None:
-    return float(value) if math.isfinite(value) else None
+def _numbers(values: np.ndarray, rows: list[int], size: int) -> pa.Array:
+    """The finite ones of the values at their rows, null elsewhere."""
+    out = np.full(size, np.nan)
+    out[rows] = values
+    return pa.array(out, mask=~np.isfinite(out))
 
 
 def scored_values(texts: DataFrame) -> DataFrame:
